@@ -8,6 +8,8 @@ from functools import lru_cache
 import numpy as np
 
 U64 = np.uint64
+# Fixed value: the pattern that cuts a text into pre-tokens, for the public rank files.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _MUL = 0x9E3779B97F4A7C15  # odd, so invertible modulo 2**64
 _INV = pow(_MUL, -1, 1 << 64)
 _WINDOW = 1 << 20

@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_encode, token_digests
 from .common import read_table
 from .ngram_join import ngram_jaccard_join
+from .sharding import shard_by_bytes
+from .topk_search import exact_top_k
+from .url_filter import filter_urls
+from .vector_dedup import near_duplicate_vectors
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,10 +41,117 @@ SELECT t.doc_id, CAST(len(t.s) AS BIGINT) AS n_shingles, coalesce(comp.c, t.doc_
 FROM sets t LEFT JOIN classes ON t.s = classes.s LEFT JOIN comp ON comp.a = classes.head
 """
 
+def ranks_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(bpe_encode(read_table(spark, sf_dir, "documents"), ranks_file()), ranks_file())
+
+
+# Fixed values of the task: rules (verdict, host, path).
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _op3_sql() -> str:
+    out = r"""
+WITH cut AS (SELECT page_id, url, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, coalesce(url, '') AS url,
+    translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+    regexp_replace(translate(translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '123456789_:&#=', '000000000-/???'), '[^a-z0/.?-]', '*', 'g') AS signs
+  FROM cut),
+ruled AS (SELECT *, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+       WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+       WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+       WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+       WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule,
+    substr(md5(url), 1, 1) IN ('0', '1', '2', '3') AS held FROM parts),
+lab AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS says FROM ruled),
+pos AS (SELECT page_id, url, says, held, signs, unnest(range(1, length(signs) + 1)) AS i FROM lab),
+gram AS (SELECT page_id, url, says, held, signs, substr('^^^' || signs, i, 4) AS g FROM pos),
+per AS (SELECT g, count(*) FILTER (says = 'allow' AND NOT held) AS allow, count(*) FILTER (says = 'block' AND NOT held) AS block FROM gram GROUP BY g),
+counts AS (SELECT g, 'allow' AS says, allow AS n FROM per UNION ALL SELECT g, 'block', block FROM per),
+n1 AS (SELECT says, right(g, 1) AS g, sum(n) AS n FROM counts GROUP BY 1, 2),
+t1 AS (SELECT says, sum(n) AS seen, count(*) FILTER (n > 0) AS d FROM n1 GROUP BY 1),
+p1 AS (SELECT says, g, CASE WHEN seen = 0 THEN 1.0::DOUBLE / 32 ELSE (n::DOUBLE + d / 32.0::DOUBLE) / (seen + d) END AS p FROM n1 JOIN t1 USING (says))"""
+    for k in (2, 3, 4):
+        out += f""",
+n{k} AS (SELECT says, right(g, {k}) AS g, sum(n) AS n FROM counts GROUP BY 1, 2),
+t{k} AS (SELECT says, left(g, {k - 1}) AS h, sum(n) AS seen, count(*) FILTER (n > 0) AS d FROM n{k} GROUP BY 1, 2),
+p{k} AS (SELECT n.says, n.g, CASE WHEN seen = 0 THEN q.p ELSE (n.n::DOUBLE + d * q.p) / (seen + d) END AS p
+  FROM n{k} n JOIN t{k} t ON t.says = n.says AND t.h = left(n.g, {k - 1}) JOIN p{k - 1} q ON q.says = n.says AND q.g = right(n.g, {k - 1}))"""
+    return out + """,
+ratio AS (SELECT g, sum(CASE WHEN says = 'allow' THEN ln(p) ELSE -ln(p) END) AS r FROM p4 GROUP BY g),
+score AS (SELECT signs, sum(r) / count(*) AS score FROM (SELECT DISTINCT signs, i FROM pos) JOIN ratio ON g = substr('^^^' || signs, i, 4) GROUP BY signs),
+scored AS (SELECT lab.*, coalesce(score, 0) AS score FROM lab LEFT JOIN score USING (signs)),
+known AS (SELECT says, avg(score) AS m, stddev_pop(score) AS s FROM scored WHERE says IS NOT NULL AND held GROUP BY says),
+w AS (SELECT max(m) FILTER (says = 'allow') AS ma, max(m) FILTER (says = 'block') AS mb, max(s) FILTER (says = 'allow') AS sa, max(s) FILTER (says = 'block') AS sb FROM known),
+c AS (SELECT coalesce(CASE WHEN sa + sb > 0 THEN (ma * sb + mb * sa) / (sa + sb) ELSE (ma + mb) / 2 END, 0) AS cut FROM w)
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN score >= (SELECT cut FROM c) THEN 'allow' ELSE 'block' END) AS verdict FROM scored
+"""
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_bytes(read_table(spark, sf_dir, "documents"), 24)
+
+
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"), 0.93)
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS p, b.vec_id AS q FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.q FROM reach r JOIN links l ON r.b = l.p),
+comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
+deg AS (SELECT p, count(*) AS n FROM links GROUP BY p)
+SELECT e.vec_id, CAST(coalesce(deg.n, 0) AS BIGINT) AS n_links, coalesce(comp.c, e.vec_id) AS component_id, coalesce(comp.c, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN comp ON comp.a = e.vec_id LEFT JOIN deg ON deg.p = e.vec_id
+"""
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(read_table(spark, sf_dir, "embeddings"), 5, 50)
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_bpe": op2_bpe,
+    "op3_url_filter": op3_url_filter,
+    "op4_sharding": op4_sharding,
+    "op5_vector_dedup": op5_vector_dedup,
+    "op8_topk": op8_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard": OP1_SQL,
+    "op3_url_filter": _op3_sql(),
+    "op5_vector_dedup": OP5_SQL,
+    "op8_topk": OP8_SQL,
 }
