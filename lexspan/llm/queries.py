@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import bpe_encode, token_digests
 from .common import read_table
+from .language_id import identify_language
+from .line_dedup import dedup_lines
 from .ngram_join import ngram_jaccard_join
+from .packing import pack_documents
 from .sharding import shard_by_bytes
+from .token_counts import count_tokens
 from .topk_search import exact_top_k
 from .url_filter import filter_urls
 from .vector_dedup import near_duplicate_vectors
@@ -140,13 +145,47 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(read_table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.md5("text").alias("kept_md5"))
+
+
+OP9_SQL = r"""
+WITH split AS (SELECT doc_id, text, source, string_split(text, chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, source, unnest(parts) AS line, unnest(range(len(parts))) AS i FROM split),
+full_lines AS (SELECT * FROM lines WHERE length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) > 0),
+marks AS (SELECT line, arg_min(doc_id, (doc_id, i)) AS d, arg_min(i, (doc_id, i)) AS p FROM full_lines GROUP BY line HAVING count(DISTINCT source) >= 10),
+cuts AS (SELECT f.doc_id, f.i FROM full_lines f JOIN marks USING (line) WHERE (f.doc_id, f.i) <> (d, p)),
+kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text, count(*) AS n FROM lines l ANTI JOIN cuts c ON c.doc_id = l.doc_id AND c.i = l.i GROUP BY l.doc_id)
+SELECT s.doc_id, CAST(coalesce(len(parts), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(parts), 0) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  CASE WHEN s.text IS NOT NULL THEN md5(coalesce(k.text, '')) END AS kept_md5
+FROM split s LEFT JOIN kept k ON k.doc_id = s.doc_id
+"""
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read_table(spark, sf_dir, "documents"), ranks_file())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_bpe": op2_bpe,
     "op3_url_filter": op3_url_filter,
     "op4_sharding": op4_sharding,
     "op5_vector_dedup": op5_vector_dedup,
+    "op6_packing": op6_packing,
+    "op7_language_id": op7_language_id,
     "op8_topk": op8_topk,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -154,4 +193,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": _op3_sql(),
     "op5_vector_dedup": OP5_SQL,
     "op8_topk": OP8_SQL,
+    "op9_line_dedup": OP9_SQL,
 }
