@@ -32,7 +32,7 @@ def stage_table(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lexspan/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path, partitionBy=partition_by)
+    df.write.parquet(path, partitionBy=partition_by, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,23 +5,34 @@ from __future__ import annotations
 import numpy as np
 
 LEAF = 16
-COARSE = 16  # groups of the points that the tree holds
+COARSE = 64  # groups of the points that the tree holds
 
 
 def count_vector(values: np.ndarray) -> np.ndarray:
-    """Counts of a set's hashes by their leading bits, as bytes.
+    """Counts of a set's hashes by their leading bits.
 
-    The number of groups is a power of two, about a group for each 4 to 8 members and 16 at least, so vectors of
-    different length fold onto each other by adding neighbours.
+    The number of groups is a power of two, 2 to 4 for each member and COARSE at least, so that two sets' other members
+    rarely fall into one group and the overlap bound is close; vectors of different length fold onto each other by
+    adding neighbours.
     """
-    bits = max(4, int(len(values) // 8).bit_length())
+    bits = max((COARSE - 1).bit_length(), int(2 * len(values) - 1).bit_length())
     while True:
         counts = np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        if counts.max(initial=0) <= 255:
+        if counts.max(initial=0) <= 15:
             return counts.astype(np.uint8)
         bits += 1
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Two counts in a byte."""
+    return (counts[0::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
+
+
+def unpack_counts(packed: bytes) -> np.ndarray:
+    both = np.frombuffer(packed, np.uint8)
+    return np.stack([both & 15, both >> 4], axis=1).ravel()
+
+
 def fold(vector: np.ndarray, groups: int) -> np.ndarray:
     return vector.astype(np.int32) if len(vector) == groups else vector.reshape(groups, -1).sum(1, dtype=np.int32)
 
@@ -112,5 +123,8 @@ class CountVectorTree:
     def _fine(self, i: int, j: int, percent: int) -> bool:
         u, v = self.vectors[i], self.vectors[j]
         groups = min(len(u), len(v))
-        bound = int(np.minimum(fold(u, groups), fold(v, groups)).sum())
+        if len(u) == len(v):
+            bound = int(np.minimum(u, v).sum(dtype=np.int64))
+        else:
+            bound = int(np.minimum(fold(u, groups), fold(v, groups)).sum())
         return bool(may_reach(bound, int(self.size[i]), int(self.size[j]), percent))

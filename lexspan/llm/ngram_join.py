@@ -16,18 +16,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import row_windows, stage_table, utf8_column
 from .components import connected_components
-from .countvector import CountVectorTree, count_vector
+from .countvector import CountVectorTree, count_vector, pack_counts, unpack_counts
 
 WINDOW = 2 << 20  # bytes of text handled at a time
 TABLES = 20
 BLOCK = 1024  # rows of a block that one task searches at a time
-MEMBERS = 2000  # members verified against one copy of their leader
+LEADERS = 4
+MEMBERS = 500  # members verified against one copy of their leader
 
 _SIGNATURE = "doc_id long, n_shingles long, digest long, lows array<long>, counts binary"
 _SALTS = K.mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
@@ -58,7 +59,7 @@ def _signatures(width: int, tables: int):
                 digest.append(_digest(values))
                 low = np.array([((values ^ _SALTS[k]) * _SALTS[-1 - k]).min() for k in range(tables)], np.uint64)
                 lows.append(K.mix64(low + np.arange(tables, dtype=np.uint64)).view(np.int64))
-                counts.append(count_vector(values).tobytes())
+                counts.append(pack_counts(count_vector(values)))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.int64()), pa.array(lows, pa.list_(pa.int64())), pa.array(counts, pa.binary())], schema=out)
 
     return run
@@ -107,21 +108,56 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, per
     return dealt.mapInArrow(_verifier(width, percent), "a long, b long")
 
 
+def _stars(multi: DataFrame, tables: int) -> DataFrame:
+    """Pairs (a, b) of block leaders and members to verify first: for each b the LEADERS leaders it meets most often.
+
+    A block is led by its most central node, the one whose blocks are the largest, and by the first nodes in a few hash orders.
+    """
+    central = multi.groupBy("node").agg(F.sum("size").alias("weight"))
+    rows = multi.select("key", "node").join(central, "node")
+    orders = [F.min(F.struct(F.xxhash64("node", F.lit(s)).alias("h"), "node"))["node"] for s in range(LEADERS - 1)]
+    leads = rows.groupBy("key").agg(F.array(F.max(F.struct("weight", "node"))["node"], *orders).alias("leads"))
+    met = rows.join(leads, "key").select("node", F.explode(F.array_distinct("leads")).alias("lead")).where("node <> lead")
+    met = met.groupBy("node", "lead").agg(F.count("*").alias("met")).where(F.col("met") * 10 >= tables * 3)
+    best = Window.partitionBy("node").orderBy(F.desc("met"), "lead")
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LEADERS).select(F.col("lead").alias("a"), F.col("node").alias("b"))
+
+
+_CELL = ("key", "i", "j", "slot", "node", "comp", "base", "low", "lows", "counts")
+
+
 def _searcher(percent: int):
     def search(cell, out_a, out_b):
-        node, comp, slot, vectors, (i, j) = cell["node"], cell["comp"], cell["slot"], cell["counts"], cell["cell"]
-        if len(node) < 2 or len(set(comp)) < 2:
+        node, comp, slot = (np.array(cell[x], np.int64) for x in ("node", "comp", "slot"))
+        if len(node) < 2 or (comp == comp[0]).all():
             return
-        comp, slot = np.array(comp), np.array(slot)
-        wanted = (lambda p, q: (comp[p] != comp[q]) & (slot[p] != slot[q])) if i != j else (lambda p, q: comp[p] != comp[q])
-        node = np.array(node)
-        for p, q in CountVectorTree([np.frombuffer(v, np.uint8) for v in vectors]).pairs(percent, wanted):
+        i, j, base, low = cell["i"][0], cell["j"][0], cell["base"][0], cell["low"][0]
+        lows = np.array(cell["lows"], np.int64)
+
+        def wanted(p, q):
+            ok = comp[p] != comp[q]
+            if i != j and (i, j) != (0, -1):
+                ok &= slot[p] != slot[q]
+            at = np.flatnonzero(ok)
+            # of all blocks that hold a pair, only the first one looks at it
+            both = lows[p[at]] == lows[q[at]]
+            rows = np.arange(len(at))
+            first = both.argmax(1)
+            own = lows[p[at], first] == base
+            if low is not None:
+                both[rows, first] = False
+                second = both.argmax(1)
+                own &= both[rows, second] & (lows[p[at], second] == low)
+            ok[at] = own
+            return ok
+
+        for p, q in CountVectorTree([unpack_counts(v) for v in cell["counts"]]).pairs(percent, wanted):
             x, y = node[p], node[q]
             out_a.append(np.minimum(x, y)), out_b.append(np.maximum(x, y))
 
     def run(batches):
         out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        key, cell = None, None
+        now, cell = None, None
 
         def emit(a, b):
             a, b = (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
@@ -131,12 +167,13 @@ def _searcher(percent: int):
         for batch in batches:
             out_a, out_b = [], []
             rows = batch.to_pydict()
-            for k, i, j, slot, node, comp, counts in zip(*(rows[c] for c in ("key", "i", "j", "slot", "node", "comp", "counts"))):
-                if (k, i, j) != key:
+            for row in zip(*(rows[c] for c in _CELL)):
+                if row[:3] != now:
                     if cell:
                         search(cell, out_a, out_b)
-                    key, cell = (k, i, j), {"cell": (i, j), "node": [], "comp": [], "slot": [], "counts": []}
-                cell["node"].append(node), cell["comp"].append(comp), cell["slot"].append(slot), cell["counts"].append(counts)
+                    now, cell = row[:3], {c: [] for c in _CELL}
+                for c, value in zip(_CELL, row):
+                    cell[c].append(value)
             yield emit(out_a, out_b)
         out_a, out_b = [], []
         if cell:
@@ -147,9 +184,12 @@ def _searcher(percent: int):
 
 
 def _open_blocks(rows: DataFrame) -> DataFrame:
-    """Adds size to rows (key, node, comp, ...), of blocks that hold more than one component."""
-    blocks = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    return rows.join(blocks.where("lo <> hi").select("key", "size"), "key")
+    """Rows (key, node, comp, ...) of blocks that hold more than one component, with the block's size, its largest
+    component and the number of rows outside that."""
+    each = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    blocks = each.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps"))
+    blocks = blocks.where("comps > 1").select("key", "size", F.col("most.comp").alias("main"), (F.col("size") - F.col("most.n")).alias("others"))
+    return rows.join(blocks, "key")
 
 
 def _candidates(multi: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -157,18 +197,23 @@ def _candidates(multi: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
     labels = labels.select(F.col("id").alias("node"), F.col("component"))
     rows = multi.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     rows = stage_table(_open_blocks(rows), "open")
-    # A block of one frequent shingle: its rows meet again under each of the other orders.
+    # A block of one frequent shingle, in many documents that are no copies: its rows meet again under each of the other orders.
     lows = nodes.select(F.col("digest").alias("node"), "lows")
-    again = rows.where(F.col("size") > BLOCK).join(lows, "node").select("node", "comp", "key", F.explode(F.array_except("lows", F.array("key"))).alias("low"))
-    again = _open_blocks(again.select(F.xxhash64("key", "low").alias("key"), "node", "comp"))
-    rows = rows.where(F.col("size") <= BLOCK).unionByName(again)
-    # What is still larger is searched slot against slot.
-    rows = rows.withColumn("slots", F.ceil(F.col("size") / BLOCK)).withColumn("slot", F.expr("pmod(xxhash64(node, 7), slots)"))
-    rows = rows.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
-    rows = rows.select("key", F.least("slot", "t").alias("i"), F.greatest("slot", "t").alias("j"), "slot", "node", "comp")
-    points = nodes.select(F.col("digest").alias("node"), "counts")
-    dealt = rows.join(points, "node").select("key", "i", "j", "slot", "node", "comp", "counts").repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(_searcher(percent), "a long, b long").distinct()
+    again = rows.where(F.col("others") > BLOCK).select("key", "node", "comp").join(lows, "node").select("node", "comp", F.col("key").alias("base"), F.explode(F.array_except("lows", F.array("key"))).alias("low"))
+    again = _open_blocks(again.withColumn("key", F.xxhash64("base", "low")))
+    rows = rows.where(F.col("others") <= BLOCK).withColumns({"base": F.col("key"), "low": F.lit(None).cast("long")}).unionByName(again)
+    # The largest component of a block is compared with the others only, slot by slot; if the others are too many
+    # still, all rows are compared slot against slot.
+    rows = rows.withColumns({"slots": F.ceil(F.col("size") / BLOCK), "few": F.col("others") <= BLOCK, "in_main": F.col("comp") == F.col("main")})
+    rows = rows.withColumn("slot", F.when(F.col("few") & ~F.col("in_main"), -1).otherwise(F.expr("pmod(xxhash64(node, 7), slots)")))
+    cells = F.when(F.col("few") & F.col("in_main"), F.array("slot")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1))
+    rows = rows.withColumn("t", F.explode(cells))
+    i = F.when(F.col("few"), F.col("t")).otherwise(F.least("slot", "t"))
+    j = F.when(F.col("few"), F.lit(-1)).otherwise(F.greatest("slot", "t"))
+    rows = rows.select("key", i.alias("i"), j.alias("j"), "slot", "node", "comp", "base", "low")
+    points = nodes.select(F.col("digest").alias("node"), "lows", "counts")
+    dealt = rows.join(points, "node").select(*_CELL).repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(_searcher(percent), "a long, b long")
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, tables: int = TABLES) -> DataFrame:
@@ -190,11 +235,9 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, table
     nodes = stage_table(nodes, "nodes")
 
     entries = nodes.select(F.col("digest").alias("node"), F.explode("lows").alias("key"))
-    blocks = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("lead")).where("size > 1")
-    multi = stage_table(entries.join(blocks.select("key", "lead"), "key"), "multi")
-
-    met = multi.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("met")).where(F.col("met") * 10 >= tables * 3)
-    stars = met.groupBy("node").agg(F.max(F.struct("met", "lead")).alias("best")).select(F.col("best.lead").alias("a"), F.col("node").alias("b"))
+    blocks = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    multi = stage_table(entries.join(blocks, "key"), "multi")
+    stars = _stars(multi, tables)
     links = stage_table(_verify(docs, nodes, stars, width, percent), "stars")
 
     pairs = stage_table(_candidates(multi, nodes, connected_components(links), percent), "pairs")
