@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 # Where a sentence ends, and abbreviations after which it doesn't.
 SENTENCE_END = r"([.!?][”\"’)]?)(\s+)(?=[A-Z(“\"$\d])"
@@ -21,6 +22,9 @@ def spans_of(text: str) -> list[tuple[int, int]]:
     return [s for s in zip(begins, ends) if s[0] < s[1]]
 
 
-@F.pandas_udf("array<struct<begin:int,end:int>>")
+_SPANS = ArrayType(StructType([StructField("begin", IntegerType()), StructField("end", IntegerType())]))
+
+
+@F.pandas_udf(_SPANS)
 def sentence_spans(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [{"begin": a, "end": b} for a, b in spans_of(t)] if t is not None else None)

@@ -183,7 +183,8 @@ def context_cap(hits: DataFrame, cap: int = CONTEXT_CAP) -> DataFrame:
     w = Window.partitionBy("question_id")
     hits = hits.withColumn("place", F.row_number().over(w.orderBy("rank")))
     all_tables = F.min(F.when(F.col("place") <= TABLE_CAP, F.col("chunk_type").isin(*TABLE_TYPES).cast("int"))).over(w) == 1
-    return hits.where(F.col("place") <= F.when((F.col("mode") != "cloud_rerank") & all_tables, TABLE_CAP).otherwise(cap)).drop("place")
+    hits = hits.withColumn("keep", F.when((F.col("mode") != "cloud_rerank") & all_tables, TABLE_CAP).otherwise(cap))
+    return hits.where("place <= keep").drop("place", "keep")
 
 
 def search(questions: DataFrame, corpus: DataFrame, vectors: DataFrame, queries: DataFrame, rerank_fn=None, cap: int = CONTEXT_CAP) -> DataFrame:
