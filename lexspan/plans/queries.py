@@ -268,12 +268,12 @@ def header_footer_repeat(spark, d):
 def _fact_tables(spark, d) -> DataFrame:
     li = _t(spark, d, "lineitem")
     num = lambda c: F.struct(F.col(c).cast("string").alias("raw"), F.col(c).cast("double").alias("num"))
-    row = F.struct(F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("label"), F.col("l_returnflag").alias("full_label"), F.lit(0).alias("indent"), F.array(num("l_quantity"), num("l_discount")).alias("values"))
+    row = F.struct(F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("label"), F.col("l_quantity").cast("double").alias("q"), F.col("l_discount").cast("double").alias("x"), F.col("l_returnflag").alias("full_label"), F.lit(0).alias("indent"), F.array(num("l_quantity"), num("l_discount")).alias("values"))
     rows = F.transform(F.array_sort(F.collect_list(row)), lambda x: F.struct(x["label"].alias("label"), x["full_label"].alias("full_label"), x["indent"].alias("indent"), x["values"].alias("values")))
     return li.groupBy(F.col("l_orderkey").alias("table_id")).agg(rows.alias("rows")).withColumn("columns", F.array(F.lit("quantity"), F.lit("discount")))
 
 
-@query("""WITH r AS (SELECT l_orderkey AS table_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_quantity) - 1 AS INTEGER) AS row_no, l_returnflag AS label, l_quantity::DOUBLE AS q, l_discount::DOUBLE AS x FROM lineitem)
+@query("""WITH r AS (SELECT l_orderkey AS table_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_quantity::DOUBLE, l_discount::DOUBLE) - 1 AS INTEGER) AS row_no, l_returnflag AS label, l_quantity::DOUBLE AS q, l_discount::DOUBLE AS x FROM lineitem)
 SELECT table_id, row_no, label, 0 AS col_no, 'quantity' AS column_head, q AS num FROM r UNION ALL SELECT table_id, row_no, label, 1, 'discount', x FROM r""")
 def table_cells_long(spark, d):
     return tables.table_facts(_fact_tables(spark, d)).select("table_id", "row_no", "label", "col_no", "column_head", "num")
