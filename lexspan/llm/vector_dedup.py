@@ -23,7 +23,7 @@ from .components import connected_components
 CODE_BITS = 256
 SIGMAS = 6.0  # bound on an estimate's error, in its standard deviations
 PIVOTS = 512  # at most; the pivots are fitted on the bounded sample
-ROWS_PER_PIVOT = 4000
+ROWS_PER_PIVOT = 50_000
 SLOT = 1024  # rows compared with as many at a time
 _SLACK = 1e-6  # radians, for rounding
 
@@ -117,27 +117,26 @@ def _labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _compare(threshold: float, turn: np.ndarray):
     out = pa.schema([("vec_id", pa.int64()), ("n_links", pa.int64()), ("root", pa.int64())])
 
-    def links(cell):
-        ids, raw = np.array(cell["vec_id"], np.int64), np.array(cell["vec"], np.float64)
-        own, slot, copies = np.array(cell["own"]), np.array(cell["slot"]), np.array(cell["copies"], np.int64)
-        cross = cell["pair"][0] != cell["pair"][1]
+    def links(pair, parts):
+        slot, ids, raw, own, copies = (np.concatenate(x) for x in zip(*parts))
         if len(ids) < 2 or not own.any():
             return None
-        unit = raw / np.sqrt((raw * raw).sum(1))[:, None]
-        turned, codes, factors = encode(unit, turn)
+        raw = raw.astype(np.float64)
+        turned, codes, factors = encode(raw / np.sqrt((raw * raw).sum(1))[:, None], turn)
+        left, right = (np.flatnonzero(slot == x) for x in pair)
         found = []
-        for at in range(0, len(ids), SLOT):
-            hit = upper_bounds(turned[at : at + SLOT], codes, factors) >= threshold
-            i, j = np.nonzero(hit)
-            i += at
-            keep = (i < j) & (own[i] | own[j])
-            if cross:
-                keep &= slot[i] != slot[j]
-            i, j = i[keep], j[keep]
-            for k in range(0, len(i), 1 << 17):  # exact recomputation
-                p, q = i[k : k + (1 << 17)], j[k : k + (1 << 17)]
-                ok = cosines(raw, p, q) >= threshold
-                found.append((p[ok], q[ok]))
+        for k in range(0, len(left), SLOT):
+            rows = left[k : k + SLOT]
+            for m in range(0, len(right), SLOT):
+                cols = right[m : m + SLOT]
+                i, j = np.nonzero(upper_bounds(turned[rows], codes[cols], factors[cols]) >= threshold)
+                i, j = rows[i], cols[j]
+                keep = (own[i] | own[j]) & ((i < j) if pair[0] == pair[1] else (i != j))
+                i, j = i[keep], j[keep]
+                for n in range(0, len(i), 1 << 17):  # exact recomputation
+                    p, q = i[n : n + (1 << 17)], j[n : n + (1 << 17)]
+                    ok = cosines(raw, p, q) >= threshold
+                    found.append((p[ok], q[ok]))
         a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
         if not len(a):
             return None
@@ -147,25 +146,30 @@ def _compare(threshold: float, turn: np.ndarray):
         return ids[linked], count[linked].astype(np.int64), ids[low[linked]]
 
     def run(batches):
-        key, cell = None, None
+        key, parts = None, []
 
-        def batch_of(parts):
-            cols = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 3
+        def batch_of(results):
+            cols = [np.concatenate(x) for x in zip(*results)] if results else [np.zeros(0, np.int64)] * 3
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=out)
 
         for batch in batches:
-            parts = []
-            names = ("label", "cell", "i", "j", "slot", "vec_id", "vec", "own", "copies")
-            rows = batch.to_pydict()
-            for label, c, i, j, slot, vec_id, vec, own, copies in zip(*(rows[x] for x in names)):
-                if (label, c, i, j) != key:
-                    if cell and (got := links(cell)):
-                        parts.append(got)
-                    key, cell = (label, c, i, j), {"pair": (i, j), "vec_id": [], "vec": [], "own": [], "slot": [], "copies": []}
-                for name, value in zip(("slot", "vec_id", "vec", "own", "copies"), (slot, vec_id, vec, own, copies)):
-                    cell[name].append(value)
-            yield batch_of(parts)
-        yield batch_of([got] if cell and (got := links(cell)) else [])
+            results = []
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(4))))
+            plain = [batch.column(c).to_numpy(zero_copy_only=False) for c in (4, 5, 7, 8)]
+            raw = _flat(batch.column(6)).reshape(len(batch), -1) if len(batch) else None
+            at = 0
+            while at < len(keys):
+                end = at + 1
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                if keys[at] != key:
+                    if parts and (got := links(key[2:], parts)):
+                        results.append(got)
+                    key, parts = keys[at], []
+                parts.append((plain[0][at:end], plain[1][at:end], raw[at:end], plain[2][at:end].astype(bool), plain[3][at:end]))
+                at = end
+            yield batch_of(results)
+        yield batch_of([got] if parts and (got := links(key[2:], parts)) else [])
 
     return run
 
@@ -180,8 +184,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataF
     the table; a table has one length by contract, others link with nothing.  A null vec_id links with
     nothing and keeps null ids.  Repeated rows are copies of one another.  No rows: no rows.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("vec"))
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast(kind).alias("vec"))
     sound = "vec_id is not null and label is not null and size(vec) > 0 and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vec, x -> x <> 0)"
     good = rows.where(sound)
     sizes = good.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
@@ -190,7 +194,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataF
     dims, total = int(sizes["dims"]), int(sizes["count"])
     good = good.where(F.size("vec") == dims)
     # Equal vectors of a label are one class, under its smallest id.  -0.0 is 0.0.
-    good = good.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))
+    good = good.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0).cast(kind[6:-1])))
     keyed = good.withColumn("hash", F.xxhash64("vec", "label"))
     firsts = keyed.groupBy("hash", "label").agg(F.min("vec_id").alias("head"), F.count("*").alias("copies"))
     unique = keyed.withColumnRenamed("vec_id", "head").join(firsts, ["hash", "label", "head"]).dropDuplicates(["head", "hash", "label"])
@@ -201,12 +205,12 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataF
     pivots = np.array([r["vec"] for r in sample], np.float64)
     pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
     theta = float(np.arccos(threshold))
-    kind = dict(unique.dtypes)["label"]
+    tag = dict(unique.dtypes)["label"]
     base = unique.select("vec_id", "label", "vec", "copies")
-    placed = base.select("vec_id", "label", "vec").mapInArrow(_place(pivots), f"vec_id long, label {kind}, vec array<double>, home int, angle double")
+    placed = base.select("vec_id", "label", "vec").mapInArrow(_place(pivots), f"vec_id long, label {tag}, vec {kind}, home int, angle double")
     placed = stage_table(placed.join(unique.select("vec_id", "label", F.col("hash"), "copies"), ["vec_id", "label"]).where(F.xxhash64("vec", "label") == F.col("hash")), "placed")
     radii = placed.groupBy("label", "home").agg(F.max("angle").alias("radius")).groupBy("label").agg(F.collect_list(F.struct("home", "radius")).alias("cells"))
-    visits = placed.join(radii, "label").select("vec_id", "label", "vec", "home", "angle", "cells", "copies").mapInArrow(_visit(pivots, theta), f"vec_id long, label {kind}, vec array<double>, cell int, own boolean, copies long")
+    visits = placed.join(radii, "label").select("vec_id", "label", "vec", "home", "angle", "cells", "copies").mapInArrow(_visit(pivots, theta), f"vec_id long, label {tag}, vec {kind}, cell int, own boolean, copies long")
     visits = stage_table(visits, "visits")
     load = visits.groupBy("label", "cell").agg(F.ceil(F.count("*") / SLOT).alias("slots"))
     dealt = visits.join(load, ["label", "cell"]).withColumn("slot", F.expr("pmod(xxhash64(vec_id), slots)"))
@@ -220,6 +224,6 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataF
     classes = firsts.join(counts, firsts["head"] == counts["vec_id"], "left").drop("vec_id").join(comps, F.col("head") == comps["id"], "left")
     classes = classes.select("hash", "label", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "head").alias("component_id"))
     ok = F.expr(f"{sound} and size(vec) = {dims}")
-    keys = rows.withColumn("hash", F.when(ok, F.xxhash64(F.transform("vec", lambda x: x + F.lit(0.0)), "label"))).select("vec_id", "label", "hash")
+    keys = rows.withColumn("hash", F.when(ok, F.xxhash64(F.transform("vec", lambda x: x + F.lit(0.0).cast(kind[6:-1])), "label"))).select("vec_id", "label", "hash")
     out = keys.join(classes, ["hash", "label"], "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
