@@ -16,12 +16,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import row_windows, stage_table, utf8_column
+from .common import row_windows, utf8_column
 
 CHUNK = 8 << 20  # bytes of text in a chunk
 PATTERN = K.PATTERN
@@ -33,7 +32,7 @@ _PIECES_ARROW = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket
 def _pack(values: np.ndarray, width: int) -> bytes:
     """Integers below 256 ** width, byte plane by byte plane, compressed."""
     planes = values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T
-    return _squeeze(np.ascontiguousarray(planes).tobytes())
+    return bytes([width]) + _squeeze(np.ascontiguousarray(planes).tobytes())
 
 
 def _squeeze(raw: bytes) -> bytes:
@@ -44,8 +43,9 @@ def _loosen(blob: bytes) -> bytes:
     return pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
 
 
-def _unpack(blob: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(_loosen(blob), np.uint8).reshape(width, -1)
+def _unpack(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    planes = np.frombuffer(_loosen(blob[1:]), np.uint8).reshape(width, -1)
     out = np.zeros((planes.shape[1], 4), np.uint8)
     out[:, :width] = planes.T
     return out.view("<u4").ravel()
@@ -75,28 +75,50 @@ def cut_texts(offsets: np.ndarray, data: np.ndarray):
     return text, cp, starts, ends, K.span_hashes(cp, starts, ends, 0x110000), np.diff(np.searchsorted(starts, rows))
 
 
-def _cut(buckets: int):
+def _chunks(batches):
+    """Yields (chunk id, doc ids, text, starts, ends, words, first, which, number, order, home hash, pre-tokens per row).
+
+    A chunk's id is a digest of its rows, so the two passes over the texts name equal chunks alike."""
+    for batch in batches:
+        ids = batch.column(0).cast(pa.int64())
+        offsets, data, _ = utf8_column(batch.column(1))
+        for a, b in row_windows(offsets, CHUNK):
+            part, cut = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            own = ids.slice(a, b - a).to_pylist()
+            name = hashlib.blake2b(part.tobytes(), digest_size=8)
+            name.update(repr(own).encode() + cut.tobytes())
+            text, _, starts, ends, hashes, per_row = cut_texts(cut, part)
+            words, first, which, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")  # frequent words get small numbers
+            yield int.from_bytes(name.digest(), "little", signed=True), own, text, starts[first[order]], ends[first[order]], words[order], order, which, per_row
+
+
+def _cut_words(buckets: int):
+    """Rows (kind 0, chunk, bucket, lengths, data): a chunk's distinct words, dealt to buckets by hash."""
+
     def run(batches):
-        base, seq = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            ids = batch.column(0).cast(pa.int64()).to_pylist()
-            offsets, data, _ = utf8_column(batch.column(1))
-            for a, b in row_windows(offsets, CHUNK):
-                text, _, starts, ends, hashes, per_row = cut_texts(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
-                words, first, which, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-                order = np.argsort(-often, kind="stable")  # frequent words get small numbers
-                number = np.empty(len(order), np.int64)
-                number[order] = np.arange(len(order))
-                home = (words[order] >> np.uint64(16)) % np.uint64(buckets)
-                s, e = starts[first[order]], ends[first[order]]
-                chunk, seq = base + seq, seq + 1
-                kind, bucket, lengths, blobs = [1], [2**31 - 1], [_pack(home, 3)], [_pack(number[which], 4)]
-                for h in np.unique(home).tolist():
-                    mine = [text[x:y].encode() for x, y in zip(s[home == h].tolist(), e[home == h].tolist())]
-                    kind.append(0), bucket.append(h)
-                    lengths.append(_pack(np.fromiter(map(len, mine), np.int64, len(mine)), 4)), blobs.append(_squeeze(b"".join(mine)))
-                n = len(kind)
-                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array(bucket, pa.int32()), pa.array([ids[a:b]] + [None] * (n - 1), pa.list_(pa.int64())), pa.array([per_row.tolist()] + [None] * (n - 1), pa.list_(pa.int32())), pa.array(lengths, pa.binary()), pa.array(blobs, pa.binary())], schema=_PIECES_ARROW)
+        for chunk, _, text, s, e, words, _, _, _ in _chunks(batches):
+            home = (words >> np.uint64(16)) % np.uint64(buckets)
+            bucket, lengths, blobs = [], [], []
+            for h in np.unique(home).tolist():
+                mine = [text[x:y].encode() for x, y in zip(s[home == h].tolist(), e[home == h].tolist())]
+                bucket.append(h)
+                lengths.append(_pack(np.fromiter(map(len, mine), np.int64, len(mine)), 4)), blobs.append(_squeeze(b"".join(mine)))
+            n = len(bucket)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array(bucket, pa.int32()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32())), pa.array(lengths, pa.binary()), pa.array(blobs, pa.binary())], schema=_PIECES_ARROW)
+
+    return run
+
+
+def _cut_positions(buckets: int):
+    """Rows (kind 1, chunk, ids, counts, lengths: bucket of each word, data: word number at each position)."""
+
+    def run(batches):
+        for chunk, ids, _, _, _, words, order, which, per_row in _chunks(batches):
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order))
+            home = (words >> np.uint64(16)) % np.uint64(buckets)
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([chunk], pa.int64()), pa.array([2**31 - 1], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([per_row.tolist()], pa.list_(pa.int32())), pa.array([_pack(home, 3)], pa.binary()), pa.array([_pack(number[which], 3 if len(order) < 1 << 24 else 4)], pa.binary())], schema=_PIECES_ARROW)
 
     return run
 
@@ -118,7 +140,7 @@ def _encode_words(path: str):
             for b, lengths, data in zip(bucket, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if b != now:
                     now, known = b, {}
-                data, ends = _loosen(data), np.cumsum(_unpack(lengths, 4), dtype=np.int64)
+                data, ends = _loosen(data), np.cumsum(_unpack(lengths), dtype=np.int64)
                 ids, at = [], 0
                 for end in ends.tolist():
                     word = data[at:end]
@@ -148,17 +170,19 @@ def _reassemble(step: int = 1 << 20):
                 if row["chunk"] != now:
                     now, parts = row["chunk"], {}
                 if row["kind"] == 0:
-                    parts[row["bucket"]] = (_unpack(row["lengths"], 4).astype(np.int64), _unpack(row["data"], 3))
+                    parts[row["bucket"]] = (_unpack(row["lengths"]).astype(np.int64), _unpack(row["data"]))
                     continue
-                home = _unpack(row["lengths"], 3)
+                home = _unpack(row["lengths"])
                 order = np.argsort(home, kind="stable")  # words of a bucket keep their order
+                if sum(len(c) for c, _ in parts.values()) != len(home):
+                    raise RuntimeError("texts changed between two reads: write the table first")
                 keys = sorted(parts)
                 count = np.empty(len(home), np.int64)
                 count[order] = np.concatenate([parts[k][0] for k in keys]) if keys else []
                 flat = np.concatenate([parts[k][1] for k in keys]) if keys else np.zeros(0, np.uint32)
                 start = np.empty(len(home), np.int64)
                 start[order] = np.cumsum(count[order]) - count[order]
-                words = _unpack(row["data"], 4).astype(np.int64)
+                words = _unpack(row["data"]).astype(np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.array(row["counts"], np.int64))])
                 for a, b in row_windows(ends, step):
                     part = words[ends[a] : ends[b]]
@@ -174,17 +198,20 @@ def bpe_encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit integers).
 
     ranks_path: a rank file that every executor can open, as installed with the tokenizer.  A null or
-    empty text has no tokens.  Null and repeated doc_ids keep a row each.  Other columns aren't read.
+    empty text has no tokens.  Texts are read twice, for words and for positions, so docs must be a table or
+    another input that reads the same again; if it doesn't, the job fails rather than mix texts up.  Null and repeated doc_ids keep a row each.  Other columns aren't read.
     A text of any length stays whole, in one chunk.  No rows: no rows.
     """
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_cut(buckets), _PIECES)
-    cut = stage_table(cut, "chunks", partition_by="kind").select("kind", "chunk", "bucket", "ids", "counts", "lengths", "data")
-    words = cut.where("kind = 0").select("chunk", "bucket", "lengths", "data").repartition("bucket").sortWithinPartitions("bucket")
+    return _encode(docs, ranks_path, _reassemble(), "doc_id long, n_tokens long, ids binary")
+
+
+def _encode(docs: DataFrame, ranks_path: str, finish, schema: str) -> DataFrame:
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    words = docs.mapInArrow(_cut_words(buckets), _PIECES).select("chunk", "bucket", "lengths", "data").repartition("bucket").sortWithinPartitions("bucket")
     encoded = words.mapInArrow(_encode_words(ranks_path), _PIECES)
-    together = encoded.unionByName(cut.where("kind = 1")).repartition("chunk").sortWithinPartitions("chunk", "bucket")
-    return together.mapInArrow(_reassemble(), "doc_id long, n_tokens long, ids binary")
+    together = encoded.unionByName(docs.mapInArrow(_cut_positions(buckets), _PIECES)).repartition("chunk").sortWithinPartitions("chunk", "bucket")
+    return together.mapInArrow(finish, schema)
 
 
 @lru_cache(maxsize=2)
@@ -213,12 +240,13 @@ def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.mapInArrow(run, encoded.schema.simpleString()[7:-1].replace(":", " ") + ", decoded binary")
 
 
-def token_digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """encoded -> doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def bpe_digests(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """docs -> doc_id, n_tokens, ids_sha256, decoded_sha256: texts are encoded, and their ids decoded, in the same task."""
+    reassemble = _reassemble()
 
     def run(batches):
-        for batch in batches:
+        for batch in reassemble(batches):
             ids = batch.column(2).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(decode_ids(x, ranks_path)).hexdigest() for x in ids], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _encode(docs, ranks_path, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

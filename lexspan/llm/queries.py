@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import bpe_encode, token_digests
+from .bpe import bpe_digests
 from .common import read_table
 from .language_id import identify_language
 from .line_dedup import dedup_lines
@@ -53,7 +53,7 @@ def ranks_file() -> str:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digests(bpe_encode(read_table(spark, sf_dir, "documents"), ranks_file()), ranks_file())
+    return bpe_digests(read_table(spark, sf_dir, "documents"), ranks_file())
 
 
 # Fixed values of the task: rules (verdict, host, path).
