@@ -27,6 +27,7 @@ from .countvector import CountVectorTree, count_vector, pack_counts, unpack_coun
 WINDOW = 2 << 20  # bytes of text handled at a time
 TABLES = 20
 BLOCK = 1024  # rows of a block that one task searches at a time
+HOT_BLOCK = 8 * BLOCK  # rows outside its largest component from which a block is dealt out anew
 LEADERS = 4
 MEMBERS = 500  # members verified against one copy of their leader
 
@@ -199,9 +200,9 @@ def _candidates(multi: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
     rows = stage_table(_open_blocks(rows), "open")
     # A block of one frequent shingle, in many documents that are no copies: its rows meet again under each of the other orders.
     lows = nodes.select(F.col("digest").alias("node"), "lows")
-    again = rows.where(F.col("others") > BLOCK).select("key", "node", "comp").join(lows, "node").select("node", "comp", F.col("key").alias("base"), F.explode(F.array_except("lows", F.array("key"))).alias("low"))
+    again = rows.where(F.col("others") > HOT_BLOCK).select("key", "node", "comp").join(lows, "node").select("node", "comp", F.col("key").alias("base"), F.explode(F.array_except("lows", F.array("key"))).alias("low"))
     again = _open_blocks(again.withColumn("key", F.xxhash64("base", "low")))
-    rows = rows.where(F.col("others") <= BLOCK).withColumns({"base": F.col("key"), "low": F.lit(None).cast("long")}).unionByName(again)
+    rows = rows.where(F.col("others") <= HOT_BLOCK).withColumns({"base": F.col("key"), "low": F.lit(None).cast("long")}).unionByName(again)
     # The largest component of a block is compared with the others only, slot by slot; if the others are too many
     # still, all rows are compared slot against slot.
     rows = rows.withColumns({"slots": F.ceil(F.col("size") / BLOCK), "few": F.col("others") <= BLOCK, "in_main": F.col("comp") == F.col("main")})
