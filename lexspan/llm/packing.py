@@ -21,7 +21,8 @@ from .common import stage_table
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 64  # tokens that a sequence costs besides its capacity
-RANK_ROWS = 100_000
+RANK_ROWS = 100_000  # pieces of one length that a task ranks, about
+RANK_SALTS = 256  # tasks at least that pieces of one length are dealt to
 
 
 def sequence_cost(capacity: int) -> float:
@@ -127,7 +128,7 @@ def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, to
     runs = np.array(sorted(plan.rows), np.int64).reshape(-1, 5)
 
     # Rank among pieces of a length, counted in salts so that no length is one task's.
-    salts = max(16, sum(c for _, c in histogram) // RANK_ROWS)
+    salts = max(RANK_SALTS, sum(c for _, c in histogram) // RANK_ROWS)
     salted = some.withColumn("salt", F.expr(f"pmod(xxhash64(doc_id, piece), {salts})"))
     each = salted.groupBy("n_tokens", "salt").count()
     before = Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
