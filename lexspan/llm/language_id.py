@@ -73,7 +73,21 @@ class LanguageModel:
         return z / z.sum(-1, keepdims=True)
 
 
-def fit(x: np.ndarray, labels: list[str], seed: int = 5) -> LanguageModel:
+class Sample:
+    """Sparse feature vectors of labelled rows; only the rows of a batch are made dense."""
+
+    def __init__(self, buckets: list[bytes], shares: list[bytes]):
+        self.buckets = [np.frombuffer(b, np.uint16) for b in buckets]
+        self.shares = [np.frombuffer(b, np.float32) for b in shares]
+
+    def dense(self, rows) -> np.ndarray:
+        x = np.zeros((len(rows), BUCKETS), np.float32)
+        for i, row in enumerate(rows):
+            x[i, self.buckets[row]] = self.shares[row]
+        return x
+
+
+def fit(sample: Sample, labels: list[str], seed: int = 5) -> LanguageModel:
     """SGD on four fifths of the sample; the rest sets temperature and threshold."""
     languages = sorted(set(labels))
     y = np.array([languages.index(v) for v in labels])
@@ -81,14 +95,14 @@ def fit(x: np.ndarray, labels: list[str], seed: int = 5) -> LanguageModel:
     order = rng.permutation(len(y))
     held = order[: len(y) // 5]
     used = order[len(y) // 5 :]
-    emb = rng.normal(0, 0.1, (x.shape[1], DIMS)).astype(np.float32)
+    emb = rng.normal(0, 0.1, (BUCKETS, DIMS)).astype(np.float32)
     out = rng.normal(0, 0.1, (DIMS, len(languages))).astype(np.float32)
     bias = np.zeros(len(languages), np.float32)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for at in range(0, len(used), BATCH):
             rows = used[at : at + BATCH] if epoch % 2 == 0 else used[::-1][at : at + BATCH]
-            xb = x[rows]
+            xb = sample.dense(rows)
             hidden = xb @ emb
             z = hidden @ out + bias
             p = np.exp(z - z.max(1, keepdims=True))
@@ -102,16 +116,16 @@ def fit(x: np.ndarray, labels: list[str], seed: int = 5) -> LanguageModel:
             emb -= (rate * 64) * (xb.T @ grad_hidden)
     model = LanguageModel(languages, emb @ out, bias)
     check = held if len(held) else used
-    best = np.inf
+    x, best = sample.dense(check), np.inf
     for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0):
         model.temperature, kept = t, model.temperature
-        p = model.probabilities(x[check])
+        p = model.probabilities(x)
         loss = -np.log(np.maximum(p[np.arange(len(check)), y[check]], 1e-9)).mean()
         if loss < best:
             best = loss
         else:
             model.temperature = kept
-    p = model.probabilities(x[check])
+    p = model.probabilities(x)
     right = p.argmax(1) == y[check]
     # Half the least confidence seen in a right answer, so that in-domain texts stay.
     model.threshold = float(p.max(1)[right].min() / 2) if right.any() else 0.0
@@ -130,24 +144,22 @@ def _featurise(batches):
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
             x = features(data[a:b])
             at = np.flatnonzero(x)
-            buckets.append(at.astype(np.int32)), shares.append(x[at])
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(buckets, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], names=["lang", "buckets", "shares"])
+            buckets.append(at.astype(np.uint16).tobytes()), shares.append(x[at].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(buckets, pa.binary()), pa.array(shares, pa.binary())], names=["lang", "buckets", "shares"])
 
 
 def train_language_model(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None:
     """Fits on at most sample_rows labelled rows outside the held-out fold, the first by hash of doc_id.
-    What reaches the driver is a sparse vector of at most BUCKETS entries for each.  No labelled row: None."""
+    What reaches the driver is a sparse vector of at most BUCKETS entries, 6 bytes each, for each row.  No labelled row: None."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out_fold(F.col("doc_id")))
     first = labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     ids = [r[0] for r in first.collect()]  # at most sample_rows
     if not ids:
         return None
-    rows = labelled.where(F.col("doc_id").isin(ids)).select("text", "lang").mapInArrow(_featurise, "lang string, buckets array<int>, shares array<float>").limit(4 * sample_rows).collect()
-    rows.sort(key=lambda r: (r["lang"], len(r["buckets"]), r["shares"][:8]))
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r["buckets"]] = r["shares"]
-    return fit(x, [r["lang"] for r in rows])
+    rows = labelled.where(F.col("doc_id").isin(ids)).select("text", "lang").mapInArrow(_featurise, "lang string, buckets binary, shares binary").limit(4 * sample_rows)
+    rows = sorted((r["lang"], bytes(r["buckets"]), bytes(r["shares"])) for r in rows.collect())
+    languages, buckets, shares = zip(*rows)
+    return fit(Sample(buckets, shares), list(languages))
 
 
 def _predict(model: LanguageModel | None):
