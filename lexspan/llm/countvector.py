@@ -42,6 +42,27 @@ def may_reach(overlap, n_a, n_b, percent: int):
     return (100 + percent) * overlap >= percent * (n_a + n_b)
 
 
+def spanning_pairs(comp: np.ndarray, i: np.ndarray, j: np.ndarray, likeness: np.ndarray) -> np.ndarray:
+    """Positions of the pairs of a maximum spanning forest over components: all pairs together connect nothing
+    that these, the likeliest ones, don't.  comp holds the component, numbered from 0, of each point."""
+    root = list(range(int(comp.max(initial=-1)) + 1))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kept = []
+    order = np.argsort(-likeness, kind="stable")
+    for k, x, y in zip(order.tolist(), comp[i[order]].tolist(), comp[j[order]].tolist()):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x] = y
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
 class CountVectorTree:
     """A packed R-tree over (size, folded counts), bulk loaded by sort-tile order.
 
@@ -83,8 +104,13 @@ class CountVectorTree:
             keep = keep[may_reach(bound, small[a[keep]], small[b[keep]], percent)]
         return keep
 
-    def pairs(self, percent: int, wanted=None, step: int = 1 << 15):
-        """Yields (i, j) index arrays of pairs i < j whose bound reaches percent; wanted(i, j) -> mask."""
+    def pairs(self, percent: int, wanted=None):
+        """Yields (i, j) index arrays of pairs i < j whose overlap bound reaches percent; wanted(i, j) -> mask."""
+        for i, j, _ in self.bounded_pairs(percent, wanted):
+            yield i, j
+
+    def bounded_pairs(self, percent: int, wanted=None, step: int = 1 << 15):
+        """Yields (i, j, bound) arrays of pairs i < j whose overlap bound reaches percent; wanted(i, j) -> mask."""
         if len(self.size) < 2:
             return
         stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
@@ -116,15 +142,14 @@ class CountVectorTree:
             i, j, n, m = i[ok], j[ok], n[ok], m[ok]
             ok = may_reach(np.minimum(self.points[i], self.points[j]).sum(1), n, m, percent)
             i, j = i[ok], j[ok]
-            ok = np.fromiter((self._fine(p, q, percent) for p, q in zip(i.tolist(), j.tolist())), bool, len(i))
+            bound = np.fromiter((self._overlap_bound(p, q) for p, q in zip(i.tolist(), j.tolist())), np.int64, len(i))
+            ok = may_reach(bound, self.size[i], self.size[j], percent)
             if ok.any():
-                yield i[ok], j[ok]
+                yield i[ok], j[ok], bound[ok]
 
-    def _fine(self, i: int, j: int, percent: int) -> bool:
+    def _overlap_bound(self, i: int, j: int) -> int:
         u, v = self.vectors[i], self.vectors[j]
         groups = min(len(u), len(v))
         if len(u) == len(v):
-            bound = int(np.minimum(u, v).sum(dtype=np.int64))
-        else:
-            bound = int(np.minimum(fold(u, groups), fold(v, groups)).sum())
-        return bool(may_reach(bound, int(self.size[i]), int(self.size[j]), percent))
+            return int(np.minimum(u, v).sum(dtype=np.int64))
+        return int(np.minimum(fold(u, groups), fold(v, groups)).sum())

@@ -9,7 +9,10 @@ deal documents out to machines.  Blocks do that: documents that share the least
 ``tables`` hash orders meet in a block.  A pair at similarity s shares no block with probability
 (1 - s) ** tables: under 1e-12 at 0.75 with 20.  Inside a block an R-tree finds the pairs.  Before that,
 each document is verified against the block leader it meets most often; groups of near copies fall into one
-component by that, and only blocks that still hold several components are searched.
+component by that, and only blocks that still hold several components are searched.  The search first gives each
+block's likeliest pairs that connect all that its pairs could connect, a spanning forest, so that a loose group
+isn't written out pair by pair.  Where all of these hold, the block's other pairs can't merge anything; where one fails,
+the block is searched once more for all pairs between the components that are left.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import row_windows, stage_table, utf8_column
 from .components import connected_components
-from .countvector import CountVectorTree, count_vector, pack_counts, unpack_counts
+from .countvector import CountVectorTree, count_vector, pack_counts, spanning_pairs, unpack_counts
 
 WINDOW = 2 << 20  # bytes of text handled at a time
 TABLES = 20
@@ -30,6 +33,7 @@ BLOCK = 1024  # rows of a block that one task searches at a time
 HOT_BLOCK = 8 * BLOCK  # rows outside its largest component from which a block is dealt out anew
 LEADERS = 4
 MEMBERS = 500  # members verified against one copy of their leader
+HELD = 1 << 20  # pairs of a cell held before they are cut down to a spanning forest
 
 _SIGNATURE = "doc_id long, n_shingles long, digest long, lows array<long>, counts binary"
 _SALTS = K.mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
@@ -127,8 +131,8 @@ def _stars(multi: DataFrame, tables: int) -> DataFrame:
 _CELL = ("key", "i", "j", "slot", "node", "comp", "base", "low", "lows", "counts")
 
 
-def _searcher(percent: int):
-    def search(cell, out_a, out_b):
+def _searcher(percent: int, spanning: bool):
+    def search(cell, out):
         node, comp, slot = (np.array(cell[x], np.int64) for x in ("node", "comp", "slot"))
         if len(node) < 2 or (comp == comp[0]).all():
             return
@@ -152,34 +156,54 @@ def _searcher(percent: int):
             ok[at] = own
             return ok
 
-        for p, q in CountVectorTree([unpack_counts(v) for v in cell["counts"]]).pairs(percent, wanted):
+        def give(p, q):
             x, y = node[p], node[q]
-            out_a.append(np.minimum(x, y)), out_b.append(np.maximum(x, y))
+            out.append(np.stack([np.full(len(x), base), np.minimum(x, y), np.maximum(x, y)]))
+
+        tree = CountVectorTree([unpack_counts(v) for v in cell["counts"]])
+        if not spanning:
+            for p, q in tree.pairs(percent, wanted):
+                give(p, q)
+            return
+        number, held = np.unique(comp, return_inverse=True)[1], []
+
+        def cut():
+            p, q, bound = (np.concatenate(x) for x in zip(*held))
+            best = spanning_pairs(number, p, q, bound / (tree.size[p] + tree.size[q] - bound))
+            held[:] = [(p[best], q[best], bound[best])]
+
+        for found in tree.bounded_pairs(percent, wanted):
+            held.append(found)
+            if sum(len(x) for x, _, _ in held) > HELD:
+                cut()
+        if held:
+            cut()
+            give(*held[0][:2])
 
     def run(batches):
-        out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        schema = pa.schema([("base", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
         now, cell = None, None
 
-        def emit(a, b):
-            a, b = (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
-            keep = a != b
-            return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], schema=out)
+        def emit(out):
+            found = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+            found = found[:, found[1] != found[2]]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=schema)
 
         for batch in batches:
-            out_a, out_b = [], []
+            out = []
             rows = batch.to_pydict()
             for row in zip(*(rows[c] for c in _CELL)):
                 if row[:3] != now:
                     if cell:
-                        search(cell, out_a, out_b)
+                        search(cell, out)
                     now, cell = row[:3], {c: [] for c in _CELL}
                 for c, value in zip(_CELL, row):
                     cell[c].append(value)
-            yield emit(out_a, out_b)
-        out_a, out_b = [], []
+            yield emit(out)
+        out = []
         if cell:
-            search(cell, out_a, out_b)
-        yield emit(out_a, out_b)
+            search(cell, out)
+        yield emit(out)
 
     return run
 
@@ -193,8 +217,9 @@ def _open_blocks(rows: DataFrame) -> DataFrame:
     return rows.join(blocks, "key")
 
 
-def _candidates(multi: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes in different components that meet in a block and that the R-tree can't rule out."""
+def _candidates(multi: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, spanning: bool) -> DataFrame:
+    """Rows (base, a, b): pairs of nodes in different components that meet in a block, base, and that the R-tree can't rule
+    out; with spanning, only those that connect the components of a cell.  A pair belongs to one cell of one block."""
     labels = labels.select(F.col("id").alias("node"), F.col("component"))
     rows = multi.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     rows = stage_table(_open_blocks(rows), "open")
@@ -214,7 +239,7 @@ def _candidates(multi: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
     rows = rows.select("key", i.alias("i"), j.alias("j"), "slot", "node", "comp", "base", "low")
     points = nodes.select(F.col("digest").alias("node"), "lows", "counts")
     dealt = rows.join(points, "node").select(*_CELL).repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(_searcher(percent), "a long, b long")
+    return dealt.mapInArrow(_searcher(percent, spanning), "base long, a long, b long")
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, tables: int = TABLES) -> DataFrame:
@@ -241,10 +266,16 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, table
     stars = _stars(multi, tables)
     links = stage_table(_verify(docs, nodes, stars, width, percent), "stars")
 
-    pairs = stage_table(_candidates(multi, nodes, connected_components(links), percent), "pairs")
-    if not pairs.isEmpty():
-        links = links.unionByName(_verify(docs, nodes, pairs, width, percent))
     labels = connected_components(links)
+    for spanning in (True, False):
+        pairs = stage_table(_candidates(multi, nodes, labels, percent, spanning), "pairs")
+        if pairs.isEmpty():
+            break
+        found = stage_table(_verify(docs, nodes, pairs.select("a", "b"), width, percent), "found")
+        links = links.unionByName(found)
+        labels = connected_components(links)
+        failed = pairs.join(found, ["a", "b"], "left_anti").select(F.col("base").alias("key")).distinct()
+        multi = multi.join(failed, "key", "left_semi")
 
     known = heads.join(labels, heads.digest == labels.id, "left").select("digest", "head", F.coalesce("component", "digest").alias("comp"))
     least = known.groupBy("comp").agg(F.min("head").alias("component_id"))

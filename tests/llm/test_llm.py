@@ -16,7 +16,7 @@ from lexspan.llm import queries as Q
 from lexspan.llm.bpe import bpe_decode, bpe_digests, bpe_encode, read_ranks
 from lexspan.llm.common import stage_table
 from lexspan.llm.components import connected_components
-from lexspan.llm.countvector import CountVectorTree, count_vector, may_reach, pack_counts, unpack_counts
+from lexspan.llm.countvector import CountVectorTree, count_vector, may_reach, pack_counts, spanning_pairs, unpack_counts
 from lexspan.llm.language_id import identify_language
 from lexspan.llm.line_dedup import dedup_lines
 from lexspan.llm.ngram_join import ngram_jaccard_join
@@ -91,6 +91,31 @@ def test_count_vector_bound_never_drops_a_link():
         assert linked <= found
 
 
+def test_loose_groups_in_ngram_join(spark):
+    """Neighbours of a chain link, distant members don't; a near miss of 0.70 must not join two chains."""
+    rng = random.Random(11)
+    long = [[f"w{c}{i}" for i in range(700)] for c in range(2)]
+    texts = [" ".join(row[at : at + 120]) for row in long for at in range(0, 560, 7)]
+    texts += [" ".join(long[0][at : at + 97] + [f"x{c}{i}" for i in range(23)]) for c, at in enumerate(range(0, 300, 60))]
+    rng.shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(a & b) >= 75 * len(a | b)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard_join(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == components(len(texts), links)
+
+
+def test_spanning_pairs_connect_what_all_pairs_connect():
+    rng = np.random.default_rng(5)
+    comp = np.unique(rng.integers(0, 25, 60), return_inverse=True)[1]
+    i, j = rng.integers(0, 60, (2, 50))
+    weight = rng.random(50)
+    kept = spanning_pairs(comp, i, j, weight)
+    n = int(comp.max()) + 1
+    assert components(n, zip(comp[i], comp[j])) == components(n, zip(comp[i[kept]], comp[j[kept]]))
+    assert len(kept) == n - len(set(components(n, zip(comp[i], comp[j]))))
+    assert len(spanning_pairs(comp[:0], i[:0], j[:0], weight[:0])) == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
