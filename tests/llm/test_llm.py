@@ -299,3 +299,28 @@ def test_pipeline(spark):
     links = [(i, j) for i, a in enumerate(ids) for j, b in enumerate(ids[:i]) if texts[a] and texts[b] and 100 * len(texts[a] & texts[b]) >= 75 * len(texts[a] | texts[b])]
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted({ids[c] for c in components(len(ids), links)})
     assert P.run(spark, SF).select("doc_id").distinct().count() == kept.count()
+
+
+def test_pipeline_line_dedup_and_packing_equal_brute_force(spark):
+    import corpus_pipeline as P
+
+    docs_in = P.read_table(spark, SF, "documents").limit(200)
+    shared = spark.range(200).select((F.col("id") + 10_000_000).alias("doc_id"), F.concat(F.lit("own "), F.col("id"), F.lit("\nshared by all\n\nshared by "), F.expr("id % 5")).alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("site"), F.expr("id % 45")).alias("source"), F.lit(0).alias("n_chars"))
+    given = stage_table(docs_in.unionByName(shared.select(*(F.col(c).cast(t) for c, t in docs_in.dtypes))), "given")
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in given.collect()]
+    sites, first = {}, {}
+    for i, text, source in sorted(rows, key=lambda r: r[0]):
+        for at, line in enumerate(text.split("\n") if text is not None else []):
+            if line.strip(" \t\n\v\f\r"):
+                sites.setdefault(line, set()).update({source} - {None})
+                first.setdefault(line, (i, at))
+    keep = lambda i, at, line: len(sites.get(line, ())) < 10 or first[line] == (i, at)
+    want = {i: None if t is None else "\n".join(x for at, x in enumerate(t.split("\n")) if keep(i, at, x)) for i, t, _ in rows}
+    assert sum(want[i] != t for i, t, _ in rows) > 100
+    out = stage_table(P.line_dedup(spark, given, SF), "deduped")
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in out.collect() if r["text"] is not None)
+    lengths = {}
+    for r in P.packing(spark, out, SF).collect():
+        lengths[r["doc_id"]] = lengths.get(r["doc_id"], 0) + r["n_tokens"]
+    assert lengths == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in want.items()}
