@@ -10,6 +10,7 @@ from lexspan.llm.language_id import keep_identified
 from lexspan.llm.line_dedup import dedup_lines
 from lexspan.llm.ngram_join import ngram_jaccard_join
 from lexspan.llm.packing import pack_documents
+from lexspan.llm.queries import ranks_file
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the training sequences."""
-    return pack_documents(docs)
+    return pack_documents(docs, ranks_file())
 
 
 STAGES = [("language ID", language_id), ("line dedup", line_dedup), ("n-gram Jaccard join", ngram_join), ("best-fit packing", packing)]

@@ -23,6 +23,7 @@ from . import kernels as K
 from .common import row_windows, utf8_column
 
 CHUNK = 8 << 20  # bytes of text in a chunk
+KNOWN = 400_000  # encoded words that a task remembers at most; what it forgets it encodes again
 PATTERN = K.PATTERN
 
 _PIECES = "kind int, chunk long, bucket int, ids array<long>, counts array<int>, lengths binary, data binary"
@@ -75,8 +76,27 @@ def cut_texts(offsets: np.ndarray, data: np.ndarray):
     return text, cp, starts, ends, K.span_hashes(cp, starts, ends, 0x110000), np.diff(np.searchsorted(starts, rows))
 
 
-def _chunks(batches):
-    """Yields (chunk id, doc ids, text, starts, ends, words, first, which, number, order, home hash, pre-tokens per row).
+def home_by_word(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each word by its hash."""
+    return (words >> np.uint64(16)) % np.uint64(buckets)
+
+
+def home_by_prefix(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each word by its first four signs, so that words that share a longer prefix meet."""
+    key = np.zeros(len(starts), np.uint64)
+    for k in range(4):
+        at = starts + k
+        key = K.mix64(key + np.where(at < ends, cp[np.minimum(at, len(cp) - 1)] + 1, 0).astype(np.uint64)) if len(cp) else key
+    return key % np.uint64(buckets)
+
+
+def bucket_count(docs: DataFrame) -> int:
+    """Buckets of words: a few for each input partition, so that a bucket's size doesn't follow the input's."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
+
+
+def _chunks(batches, buckets: int, home):
+    """Yields (chunk id, doc ids, text, starts, ends, order, which, bucket of each word, pre-tokens per row).
 
     A chunk's id is a digest of its rows, so the two passes over the texts name equal chunks alike."""
     for batch in batches:
@@ -87,18 +107,18 @@ def _chunks(batches):
             own = ids.slice(a, b - a).to_pylist()
             name = hashlib.blake2b(part.tobytes(), digest_size=8)
             name.update(repr(own).encode() + cut.tobytes())
-            text, _, starts, ends, hashes, per_row = cut_texts(cut, part)
+            text, cp, starts, ends, hashes, per_row = cut_texts(cut, part)
             words, first, which, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
             order = np.argsort(-often, kind="stable")  # frequent words get small numbers
-            yield int.from_bytes(name.digest(), "little", signed=True), own, text, starts[first[order]], ends[first[order]], words[order], order, which, per_row
+            s, e = starts[first[order]], ends[first[order]]
+            yield int.from_bytes(name.digest(), "little", signed=True), own, text, s, e, order, which, home(cp, s, e, words[order], buckets), per_row
 
 
-def _cut_words(buckets: int):
+def _cut_words(buckets: int, at_home):
     """Rows (kind 0, chunk, bucket, lengths, data): a chunk's distinct words, dealt to buckets by hash."""
 
     def run(batches):
-        for chunk, _, text, s, e, words, _, _, _ in _chunks(batches):
-            home = (words >> np.uint64(16)) % np.uint64(buckets)
+        for chunk, _, text, s, e, _, _, home, _ in _chunks(batches, buckets, at_home):
             bucket, lengths, blobs = [], [], []
             for h in np.unique(home).tolist():
                 mine = [text[x:y].encode() for x, y in zip(s[home == h].tolist(), e[home == h].tolist())]
@@ -110,14 +130,13 @@ def _cut_words(buckets: int):
     return run
 
 
-def _cut_positions(buckets: int):
+def _cut_positions(buckets: int, at_home):
     """Rows (kind 1, chunk, ids, counts, lengths: bucket of each word, data: word number at each position)."""
 
     def run(batches):
-        for chunk, ids, _, _, _, words, order, which, per_row in _chunks(batches):
+        for chunk, ids, _, _, _, order, which, home, per_row in _chunks(batches, buckets, at_home):
             number = np.empty(len(order), np.int64)
             number[order] = np.arange(len(order))
-            home = (words >> np.uint64(16)) % np.uint64(buckets)
             yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([chunk], pa.int64()), pa.array([2**31 - 1], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([per_row.tolist()], pa.list_(pa.int32())), pa.array([_pack(home, 3)], pa.binary()), pa.array([_pack(number[which], 3 if len(order) < 1 << 24 else 4)], pa.binary())], schema=_PIECES_ARROW)
 
     return run
@@ -130,6 +149,12 @@ def _encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})._core_bpe.encode_single_piece
 
 
+def words_of(lengths: bytes, data: bytes) -> list[bytes]:
+    """The words of a row of kind 0, in their order."""
+    data, ends = _loosen(data), np.cumsum(_unpack(lengths), dtype=np.int64).tolist()
+    return [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+
 def _encode_words(path: str):
     def run(batches):
         encode = _encoder(path)
@@ -138,13 +163,10 @@ def _encode_words(path: str):
             chunk, bucket = batch.column(0), batch.column(1).to_pylist()
             counts, blobs = [], []
             for b, lengths, data in zip(bucket, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if b != now:
+                if b != now or len(known) > KNOWN:
                     now, known = b, {}
-                data, ends = _loosen(data), np.cumsum(_unpack(lengths), dtype=np.int64)
-                ids, at = [], 0
-                for end in ends.tolist():
-                    word = data[at:end]
-                    at = end
+                ids = []
+                for word in words_of(lengths, data):
                     got = known.get(word)
                     if got is None:
                         got = known[word] = encode(word)
@@ -157,6 +179,24 @@ def _encode_words(path: str):
     return run
 
 
+def whole_chunks(batches):
+    """Yields (doc ids, ends of the rows, word number at each position, {bucket: (lengths, data)}, order of words by bucket) for each
+    chunk.  order puts the words of the buckets, the least bucket first, back at their numbers."""
+    now, parts = None, {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["chunk"] != now:
+                now, parts = row["chunk"], {}
+            if row["kind"] == 0:
+                parts[row["bucket"]] = (_unpack(row["lengths"]).astype(np.int64), _unpack(row["data"]))
+                continue
+            home = _unpack(row["lengths"])
+            if sum(len(c) for c, _ in parts.values()) != len(home):
+                raise RuntimeError("texts changed between two reads: write the table first")
+            order = np.argsort(home, kind="stable")  # words of a bucket keep their order
+            yield row["ids"], np.concatenate([[0], np.cumsum(np.array(row["counts"], np.int64))]), _unpack(row["data"]).astype(np.int64), dict(sorted(parts.items())), order
+
+
 _ENCODED_ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
@@ -164,32 +204,17 @@ def _reassemble(step: int = 1 << 20):
     """Yields rows (doc_id, n_tokens, ids as little-endian unsigned 32-bit integers)."""
 
     def run(batches):
-        now, parts = None, {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["chunk"] != now:
-                    now, parts = row["chunk"], {}
-                if row["kind"] == 0:
-                    parts[row["bucket"]] = (_unpack(row["lengths"]).astype(np.int64), _unpack(row["data"]))
-                    continue
-                home = _unpack(row["lengths"])
-                order = np.argsort(home, kind="stable")  # words of a bucket keep their order
-                if sum(len(c) for c, _ in parts.values()) != len(home):
-                    raise RuntimeError("texts changed between two reads: write the table first")
-                keys = sorted(parts)
-                count = np.empty(len(home), np.int64)
-                count[order] = np.concatenate([parts[k][0] for k in keys]) if keys else []
-                flat = np.concatenate([parts[k][1] for k in keys]) if keys else np.zeros(0, np.uint32)
-                start = np.empty(len(home), np.int64)
-                start[order] = np.cumsum(count[order]) - count[order]
-                words = _unpack(row["data"]).astype(np.int64)
-                ends = np.concatenate([[0], np.cumsum(np.array(row["counts"], np.int64))])
-                for a, b in row_windows(ends, step):
-                    part = words[ends[a] : ends[b]]
-                    tokens = gather_ragged(flat, start[part], count[part])
-                    upto = np.concatenate([[0], np.cumsum(count[part])])[ends[a : b + 1] - ends[a]]
-                    rows = [tokens[x:y].tobytes() for x, y in zip(upto[:-1].tolist(), upto[1:].tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(row["ids"][a:b], pa.int64()), pa.array(np.diff(upto)), pa.array(rows, pa.binary())], schema=_ENCODED_ARROW)
+        for ids, ends, words, parts, order in whole_chunks(batches):
+            count, start = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+            count[order] = np.concatenate([c for c, _ in parts.values()]) if parts else []
+            flat = np.concatenate([d for _, d in parts.values()]) if parts else np.zeros(0, np.uint32)
+            start[order] = np.cumsum(count[order]) - count[order]
+            for a, b in row_windows(ends, step):
+                part = words[ends[a] : ends[b]]
+                tokens = gather_ragged(flat, start[part], count[part])
+                upto = np.concatenate([[0], np.cumsum(count[part])])[ends[a : b + 1] - ends[a]]
+                rows = [tokens[x:y].tobytes() for x, y in zip(upto[:-1].tolist(), upto[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(np.diff(upto)), pa.array(rows, pa.binary())], schema=_ENCODED_ARROW)
 
     return run
 
@@ -200,20 +225,56 @@ def bpe_encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     ranks_path: a rank file that every executor can open, as installed with the tokenizer.  A null or
     empty text has no tokens.  Texts are read twice, for words and for positions, so docs must be a table or
     another input that reads the same again; if it doesn't, the job fails rather than mix texts up.  Null and repeated doc_ids keep a row each.  Other columns aren't read.
-    A text of any length stays whole, in one chunk.  No rows: no rows.
+    A text of any length stays whole, in one chunk of its own; a task needs about 40 times its largest text's bytes, so that
+    a text beyond 50 MB asks for larger executors.  No rows: no rows.
     """
     return _encode(docs, ranks_path, _reassemble(), "doc_id long, n_tokens long, ids binary")
 
 
-def _encode(docs: DataFrame, ranks_path: str, finish, schema: str) -> DataFrame:
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def deal_words(docs: DataFrame, solve, finish, schema: str, home=home_by_word) -> DataFrame:
+    """Distinct words of every chunk of docs go to their bucket, solve turns each into numbers, and finish gets them chunk by chunk."""
+    buckets = bucket_count(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    words = docs.mapInArrow(_cut_words(buckets), _PIECES).select("chunk", "bucket", "lengths", "data").repartition("bucket").sortWithinPartitions("bucket")
-    encoded = words.mapInArrow(_encode_words(ranks_path), _PIECES)
-    together = encoded.unionByName(docs.mapInArrow(_cut_positions(buckets), _PIECES)).repartition("chunk").sortWithinPartitions("chunk", "bucket")
+    words = docs.mapInArrow(_cut_words(buckets, home), _PIECES).select("chunk", "bucket", "lengths", "data").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    solved = words.mapInArrow(solve, _PIECES)
+    together = solved.unionByName(docs.mapInArrow(_cut_positions(buckets, home), _PIECES)).repartition(buckets, "chunk").sortWithinPartitions("chunk", "bucket")
     return together.mapInArrow(finish, schema)
 
 
+def _encode(docs: DataFrame, ranks_path: str, finish, schema: str) -> DataFrame:
+    return deal_words(docs, _encode_words(ranks_path), finish, schema)
+
+
+def bpe_lengths(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, n_tokens: numbers of tokens only, without a shuffle; a row for each row.
+
+    A chunk's distinct words are encoded once.  A null or empty text has 0 tokens.  No rows: no rows.
+    """
+
+    def run(batches):
+        encode, known = _encoder(ranks_path), {}
+        for batch in batches:
+            offsets, data, _ = utf8_column(batch.column(1))
+            found = [np.zeros(0, np.int64)]
+            for a, b in row_windows(offsets, CHUNK):
+                text, _, starts, ends, hashes, per_row = cut_texts(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
+                _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+                if len(known) > KNOWN:
+                    known.clear()
+                size = np.empty(len(first), np.int64)
+                for i, (x, y) in enumerate(zip(starts[first].tolist(), ends[first].tolist())):
+                    word = text[x:y]
+                    n = known.get(word)
+                    if n is None:
+                        n = known[word] = len(encode(word.encode()))
+                    size[i] = n
+                upto = np.concatenate([[0], np.cumsum(size[which])])
+                found.append(np.diff(upto[np.concatenate([[0], np.cumsum(per_row)])]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found))], names=["doc_id", "n_tokens"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long")
+
+
 @lru_cache(maxsize=2)
 def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     table = {i: b for b, i in read_ranks(path).items()}

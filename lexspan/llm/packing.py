@@ -2,9 +2,10 @@
 
 Pieces of equal length are interchangeable, so packing works on the histogram of lengths (at most as many rows as the
 largest capacity): runs of equal bins take runs of equal pieces, the longest first, each into the bin
-with the least room that holds it.  Where none holds it, a bin opens; the size to open is the one that makes
-all bins together cheapest once every bin is downsized to its contents.  The plan is a list of runs; documents find
-their place in it by their rank among pieces of their length, which is counted in parallel.
+with the least room that holds it.  Where none holds it, a bin opens.  All permitted capacities compete at every opening: each is
+filled in thought with the piece and the longest unclaimed shorter ones, downsized to what that leaves, and the one of least
+cost for a token opens and claims what filled it.  At the end every bin is downsized to its contents.  The plan is a
+list of runs; documents find their place in it by their rank among pieces of their length, which is counted in parallel.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import bpe_lengths
 from .common import stage_table
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -40,14 +42,54 @@ class Plan:
         return sum(n * cost(capacities[bisect.bisect_left(capacities, used)]) for _, n, used in self.bins)
 
 
-def plan_runs(histogram: list[tuple[int, int]], capacities: tuple[int, ...], opens: int) -> Plan:
-    """Best fit, longest first, of (length, count) rows; a new bin has capacity opens, or the least one that holds the piece."""
-    plan = Plan()
+class Opening:
+    """The choice of the capacity to open for a piece that fits nowhere."""
+
+    def __init__(self, histogram: list[tuple[int, int]], capacities: tuple[int, ...], cost: Callable[[int], float]):
+        self.lengths = sorted(n for n, _ in histogram)
+        self.spare = dict(histogram)  # pieces that no opened bin claims
+        self.capacities, self.price = capacities, [cost(c) for c in capacities]
+
+    def fill(self, capacity: int, length: int) -> dict[int, int]:
+        """length -> pieces of it: the piece itself, then the longest unclaimed ones that still fit."""
+        taken, room, most = {}, capacity, length
+        while room and (at := bisect.bisect_right(self.lengths, min(room, most)) - 1) >= 0:
+            most = self.lengths[at]
+            n = min(self.spare[most], room // most)
+            if n:
+                taken[most] = n
+                room -= n * most
+            most -= 1
+        return taken
+
+    def choose(self, length: int) -> tuple[int, int, int]:
+        """(capacity, pieces of length in each bin, bins): the cheapest for a token, of equal ones the smallest, and how many
+        bins in a row would be opened so; their claims are noted."""
+        options = []
+        for capacity in self.capacities[bisect.bisect_left(self.capacities, length) :]:
+            taken = self.fill(capacity, length)
+            used = sum(n * k for n, k in taken.items())
+            options.append((self.price[bisect.bisect_left(self.capacities, used)] / used, capacity, taken))
+        _, capacity, best = min(options, key=lambda o: o[:2])
+        # as long as every option would be filled as now, the choice stays the same
+        bins = min((self.spare[n] - taken.get(n, 0)) // k + 1 if taken.get(n) else self.spare[n] // k for _, _, taken in options for n, k in best.items())
+        bins = max(1, bins)
+        for n, k in best.items():
+            self.spare[n] -= k * bins
+        return capacity, best[length], bins
+
+
+def best_plan(histogram: list[tuple[int, int]], capacities: tuple[int, ...], cost: Callable[[int], float] = sequence_cost) -> Plan:
+    """Best fit, longest first, of (length, count) rows, with the capacity chosen at each opening."""
+    plan, opening = Plan(), Opening(histogram, capacities, cost)
     rooms: list[int] = []  # ascending
     groups: dict[int, list[list[int]]] = {}  # room -> runs of bins (first bin, bins, tokens in each)
     made = 0
 
     def put(room: int, group: list[int]) -> None:
+        if not room:
+            plan.bins.append(group)
+            return
         if room not in groups:
             bisect.insort(rooms, room)
             groups[room] = []
@@ -57,15 +99,18 @@ def plan_runs(histogram: list[tuple[int, int]], capacities: tuple[int, ...], ope
         rank = 0
         while count:
             at = bisect.bisect_left(rooms, length)
-            if at < len(rooms):
-                room = rooms[at]
-                bin0, bins, used = groups[room].pop()
-                if not groups[room]:
-                    del groups[room], rooms[at]
-            else:
-                room = capacities[max(bisect.bisect_left(capacities, length), bisect.bisect_left(capacities, opens))]
-                bin0, bins, used = made, -(-count // (room // length)), 0
+            if at == len(rooms):
+                opening.spare[length] = count
+                capacity, per, bins = opening.choose(length)
+                plan.rows.append((length, rank, per, made, 0))
+                rank, count = rank + bins * per, count - bins * per
+                put(capacity - per * length, [made, bins, per * length])
                 made += bins
+                continue
+            room = rooms[at]
+            bin0, bins, used = groups[room].pop()
+            if not groups[room]:
+                del groups[room], rooms[at]
             per = room // length
             full = min(bins, count // per)
             if full:
@@ -79,15 +124,11 @@ def plan_runs(histogram: list[tuple[int, int]], capacities: tuple[int, ...], ope
                     rank, count, full = rank + count, 0, full + 1
                 if full < bins:
                     put(room, [bin0 + full, bins - full, used])
-    plan.bins = [g for own in groups.values() for g in own]
+        opening.spare[length] = 0
+    plan.bins += [g for own in groups.values() for g in own]
     return plan
 
 
-def best_plan(histogram: list[tuple[int, int]], capacities: tuple[int, ...], cost: Callable[[int], float] = sequence_cost) -> Plan:
-    plans = [plan_runs(histogram, capacities, opens) for opens in capacities]
-    return min(plans, key=lambda p: p.cost(capacities, cost))
-
-
 def _assign(runs: np.ndarray):
     """runs: rows (length, first rank, per, bin0, offset), by length and rank."""
     keys = runs[:, 0] * (1 << 44) + runs[:, 1]
@@ -103,23 +144,25 @@ def _assign(runs: np.ndarray):
     return run
 
 
-def word_tokens(text):
-    """Default length of a text: its words."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+def pack_documents(docs: DataFrame, ranks_path: str, capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
+    """docs (doc_id, text, ...) -> see pack_lengths; a document's length is the number of its byte-level BPE tokens.
+
+    Null and empty texts have length 0.  Other columns aren't read.
+    """
+    return pack_lengths(bpe_lengths(docs, ranks_path), capacities)
 
 
-def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, tokens=word_tokens) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, piece, n_tokens, bin_id, bin_offset, bin_capacity; a row for each piece.
+def pack_lengths(sized: DataFrame, capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
+    """sized (doc_id, n_tokens, ...) -> doc_id, piece, n_tokens, bin_id, bin_offset, bin_capacity; a row for each piece.
 
     A document longer than the largest capacity is cut into pieces of that capacity and a rest; piece p
-    holds the tokens from p times the largest capacity on.  Null and empty texts have one piece of 0 tokens and no bin.
-    bin_capacity is the least permitted one that holds the bin's pieces.  Null and repeated
+    holds the tokens from p times the largest capacity on.  Documents without tokens, or with a null length, have one piece of 0
+    tokens and no bin.  bin_capacity is the least permitted one that holds the bin's pieces.  Null and repeated
     doc_ids are packed like any.  Other columns aren't read.  No rows: no rows.
     """
-    spark = docs.sparkSession
     capacities = tuple(sorted(capacities))
     top = capacities[-1]
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).cast("long").alias("n"))
+    sized = sized.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n"))
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / top) - 1, F.lit(0)))))
     pieces = stage_table(pieces.select("doc_id", "piece", F.least(F.lit(top).cast("long"), F.col("n") - F.col("piece") * top).alias("n_tokens")), "pieces")
     some = pieces.where("n_tokens > 0")

@@ -146,7 +146,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read_table(spark, sf_dir, "documents"))
+    return pack_documents(read_table(spark, sf_dir, "documents"), ranks_file())
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
