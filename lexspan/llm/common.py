@@ -10,16 +10,20 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder the cluster names in spark.checkpoint.dir.  Where it is unset, a local session (one machine, as in tests) gets a
+    temporary folder that goes with the process; on a cluster that is an error, since no other machine could read it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not path:
         held = sc._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         path = tempfile.mkdtemp(prefix="lexspan-ckpt-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         path = f"file://{path}"
@@ -28,12 +32,59 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_written: dict[str, SparkSession] = {}
+
+
+def _remove_written() -> None:
+    for path, spark in _written.items():
+        try:
+            jvm = spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session is gone, and with it the way to reach the folder
+            return
+
+
+atexit.register(_remove_written)
+
+
 def stage_table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Results are lazy and read these tables late, so they stay until the driver's process ends and are removed then."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lexspan/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path, partitionBy=partition_by, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
+    home = f"{shared_dir(spark).rstrip('/')}/lexspan/{uuid.uuid4().hex}"
+    df.write.parquet(f"{home}/{name}", partitionBy=partition_by, compression="zstd")
+    _written[home] = spark
+    return spark.read.schema(df.schema).parquet(f"{home}/{name}")
+
+
+HEAVY = 10_000
+
+
+def heavy_join(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """rows.join(facts, keys, how) where facts has one row for each key, and weight counts the rows of that key.
+
+    Keys that hold more than 1 / HEAVY of all weight, at most HEAVY by that, are joined by broadcast, so that a hot key
+    is never one task's; the others are joined by shuffle.  rows and facts are read twice: stage them first.  how: inner or left.
+    """
+    total = facts.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    heavy = facts.where(F.col(weight) * HEAVY > total)
+    light = facts.where(F.col(weight) * HEAVY <= total)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, how)
+    return rows.join(F.broadcast(heavy), keys).unionByName(rest)
+
+
+def fresh_names(df: DataFrame, names: list[str]) -> list[str]:
+    """names, each with as many underscores before it as keep it apart from df's columns (which match in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
