@@ -1,38 +1,57 @@
 """Operator 8: exact top-k inner products on a bit-sliced index.
 
-A block of rows keeps every quantised attribute as bit slices: bitmaps with a bit for each row.  For a query the slices are
-added with bitmap logic (full adders), weighted by the bits of the query's own components, which gives
-the score of all rows as slices.  From the most significant slice downward the top rows are split
-off; rows tied at the boundary are resolved by id.  Blocks of rows meet blocks of queries; each
-pair of blocks yields k rows a query at most, and the best k of all are kept.
+The index is built once: a block of rows keeps every quantised attribute as bit slices, bitmaps with a bit for each row, and is
+written as one row of a table.  For a query the slices are added with bitmap logic (full adders), weighted by the bits of
+the query's own components, which gives the score of all rows as slices.  From the most significant slice downward the
+top rows are split off; rows tied at the boundary are resolved by id.
+
+Queries go to the blocks in batches of bounded size, one pass over the index for each batch, so neither rows nor index are
+copied for the number of queries.  A block yields k rows a query at most, and the best k of all are kept.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage_table
 
 ROW_BLOCK = 1 << 16
-QUERY_BLOCK = 128
+QUERY_BYTES = 32 << 20  # bytes of queries sent to every task at a time, about
 
 
 class BitSlicedIndex:
     """Slices of offset attributes: values - lows is stored, bit b of attribute i in slices[i][b]."""
 
     def __init__(self, values: np.ndarray):
-        self.n, dims = values.shape
-        self.lows = values.min(0)
-        shifted = (values - self.lows).T
+        """Builds the index of the rows of an integer matrix."""
+        n, dims = values.shape
+        lows = values.min(0)
+        shifted = (values - lows).T
         width = [int(x).bit_length() for x in shifted.max(1)]
-        words = -(-self.n // 64)
-        self.full = self._pack(np.ones(self.n, bool), words)
-        self.slices = [[self._pack((shifted[i] >> b) & 1 == 1, words) for b in range(width[i])] for i in range(dims)]
+        words = -(-n // 64)
+        slices = [self._pack((shifted[i] >> b) & 1 == 1, words) for i in range(dims) for b in range(width[i])]
+        self._set(n, lows, np.array(width, np.int64), np.array(slices, np.uint64).reshape(-1, words))
+
+    def _set(self, n: int, lows: np.ndarray, width: np.ndarray, slices: np.ndarray) -> None:
+        self.n, self.lows, self.width, self.matrix = n, lows, width, slices
+        self.full = self._pack(np.ones(n, bool), -(-n // 64))
+        ends = np.cumsum(width).tolist()
+        self.slices = [list(slices[e - w : e]) for e, w in zip(ends, width.tolist())]
         self.flipped = [[s ^ self.full for s in own] for own in self.slices]
 
+    def dump(self) -> tuple[int, bytes, bytes, bytes]:
+        return self.n, self.lows.astype("<i8").tobytes(), self.width.astype("<i8").tobytes(), self.matrix.tobytes()
+
+    @classmethod
+    def load(cls, n: int, lows: bytes, width: bytes, slices: bytes) -> BitSlicedIndex:
+        self = cls.__new__(cls)
+        self._set(n, np.frombuffer(lows, "<i8"), np.frombuffer(width, "<i8"), np.frombuffer(slices, np.uint64).reshape(-1, -(-n // 64)))
+        return self
+
     @staticmethod
     def _pack(bits: np.ndarray, words: int) -> np.ndarray:
         out = np.zeros(words * 8, np.uint8)
@@ -112,36 +131,55 @@ class BitSlicedIndex:
         return words[w] * 64 + b
 
 
-def _search(k: int, dims: int):
-    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_INDEX = "n long, ids binary, rids binary, lows binary, width binary, slices binary, own int"
+
+
+def _build(dims: int):
+    """Rows (vec_id, rid, v) -> blocks of the index, rows ordered by (vec_id, rid)."""
+
+    def block(parts):
+        ids, rids, values = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((rids, ids))
+        n, lows, width, slices = BitSlicedIndex(values[order]).dump()
+        cols = [[n], [ids[order].tobytes()], [rids[order].tobytes()], [lows], [width], [slices]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.binary()) for i, c in enumerate(cols)], names=["n", "ids", "rids", "lows", "width", "slices"])
+
+    def run(batches):
+        parts, held = [], 0
+        for batch in batches:
+            for at in range(0, len(batch), ROW_BLOCK):
+                part = batch.slice(at, ROW_BLOCK)
+                parts.append((part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).flatten().to_numpy().reshape(-1, dims)))
+                held += len(part)
+                if held >= ROW_BLOCK:
+                    yield block(parts)
+                    parts, held = [], 0
+        if held:
+            yield block(parts)
+
+    return run
+
+
+def _search(k: int, queries: tuple[np.ndarray, np.ndarray, np.ndarray], splits: int):
+    """Blocks, each with the split of the queries that it is to answer -> rid and id of the query, id and rid of a row, score."""
+    schema = pa.schema([(c, pa.int64()) for c in ("query", "query_id", "vec_id", "rid", "score")])
+    asked, query_ids, values = queries
 
     def run(batches):
-        now, ids, values, index, order = None, [], [], None, None
         for batch in batches:
-            key = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            role, vec_id = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            data = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.int64)
-            got = ([], [], [])
-            for at, pair in enumerate(key):
-                if pair != now:
-                    now, ids, values, index = pair, [], [], None
-                if role[at] == 0:
-                    ids.append(vec_id[at]), values.append(data[at])
-                    continue
-                if index is None:
-                    if not ids:
-                        continue
-                    ids = np.array(ids, np.int64)
-                    order = np.argsort(ids, kind="stable")
-                    ids, index = ids[order], BitSlicedIndex(np.array(values)[order])
-                own = np.searchsorted(ids, vec_id[at])
-                own = int(own) if own < len(ids) and ids[own] == vec_id[at] else -1
-                sure, tied, score = index.top(data[at], k, own)
-                tied = tied[: k - len(sure)]  # ids ascend: the smaller ones win
-                rows = np.concatenate([sure, tied])
-                for x, y in zip(got, (np.full(len(rows), vec_id[at]), ids[rows], np.concatenate([score[: len(sure)], score[len(sure) : len(sure) + len(tied)]]))):
-                    x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in got], schema=out)
+            for row in batch.to_pylist():
+                index = BitSlicedIndex.load(row["n"], row["lows"], row["width"], row["slices"])
+                ids, rids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["rids"], np.int64)
+                by_rid = np.argsort(rids)
+                found = [np.zeros((5, 0), np.int64)]
+                for q in range(row["own"], len(asked), splits):
+                    at = np.searchsorted(rids, asked[q], sorter=by_rid)
+                    own = int(by_rid[at]) if at < len(rids) and rids[by_rid[at]] == asked[q] else -1
+                    sure, tied, score = index.top(values[q], k, own)
+                    keep = len(sure) + len(tied[: k - len(sure)])  # rows ascend by id: the smaller ones win
+                    rows = np.concatenate([sure, tied])[:keep]
+                    found.append(np.stack([np.full(keep, asked[q]), np.full(keep, query_ids[q]), ids[rows], rids[rows], score[:keep]]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found, axis=1)], schema=schema)
 
     return run
 
@@ -152,22 +190,37 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 25
     Components become floor(scale * x) in double precision; queries are the rows whose vec_id is divisible by
     every, candidates all rows but the query's own; score is the inner product, ties go to the smaller
     vec_id.  A query gets all candidates if there are fewer than k.  Rows with a null vec_id, and vectors
-    that are null or hold null or non-finite components, take no part; nor do vectors of another length than
-    the table's most common.  Of repeated vec_ids one row takes part.  No rows: no rows.
+    that are null, empty or hold null or non-finite components, take no part; nor do vectors of another length than
+    the table's most common (of equally common ones the shortest).  A row that repeats a vec_id is a candidate and, if divisible, a
+    query of its own.  Where scores could leave 64 bits a ValueError is raised.  Other columns aren't read.  No rows: no rows.
     """
+    spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
-    rows = rows.where("vec_id is not null and x is not null and forall(x, v -> v is not null and not isnan(v) and abs(v) < double('infinity'))")
-    sizes = rows.groupBy(F.size("x").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    dims, total = (int(sizes["dims"]), int(sizes["count"])) if sizes else (1, 0)
-    rows = rows.where(F.size("x") == dims).groupBy("vec_id").agg(F.min("x").alias("x"))
-    rows = stage_table(rows.select("vec_id", F.transform("x", lambda v: F.floor(F.lit(float(scale)) * v)).alias("v")), "quantised")
-
-    row_blocks, query_blocks = -(-total // ROW_BLOCK) or 1, -(-total // (every * QUERY_BLOCK)) or 1
-    spread = lambda n: F.expr(f"pmod(xxhash64(vec_id), {n})")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    cands = rows.select(spread(row_blocks).alias("r"), all_of(query_blocks).alias("q"), F.lit(0).alias("role"), "vec_id", "v")
-    asks = rows.where(F.col("vec_id") % every == 0).select(all_of(row_blocks).alias("r"), spread(query_blocks).alias("q"), F.lit(1).alias("role"), "vec_id", "v")
-    dealt = cands.unionByName(asks).repartition(row_blocks * query_blocks, "r", "q").sortWithinPartitions("r", "q", "role")
-    found = dealt.mapInArrow(_search(k, dims), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    rows = rows.where("vec_id is not null and size(x) > 0 and forall(x, v -> v is not null and not isnan(v) and abs(v) < double('infinity'))")
+    far = F.max(F.array_max(F.transform("x", F.abs)))
+    sizes = rows.groupBy(F.size("x").alias("dims")).agg(F.count("*").alias("n"), far.alias("far")).orderBy(F.desc("n"), "dims").first()
+    dims, total, most = (sizes["dims"], sizes["n"], scale * sizes["far"] + 1) if sizes else (1, 0, 0)
+    if dims * most * most >= 2.0**62:
+        raise ValueError(f"components up to {most / scale:g}: inner products of {dims} of them leave 64 bits")
+    rows = rows.where(F.size("x") == dims).select("vec_id", F.monotonically_increasing_id().alias("rid"), F.transform("x", lambda v: F.floor(F.lit(float(scale)) * v)).alias("v"))
+    rows = stage_table(rows, "quantised")
+    blocks = -(-total // ROW_BLOCK) or 1
+    index = rows.repartition(blocks, "rid").mapInArrow(_build(dims), _INDEX.removesuffix(", own int"))
+    index = stage_table(index, "index")
+
+    # Few blocks: each is read by several tasks, which share the queries, so that all cores have work.
+    splits = max(1, -(-spark.sparkContext.defaultParallelism // blocks))
+    index = index.withColumn("own", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).repartition(blocks * splits)
+    queries = rows.where(F.col("vec_id") % every == 0)
+    n_queries = queries.count()
+    passes = -(-n_queries * (dims + 2) * 8 // QUERY_BYTES) or 1
+    found = None
+    for number in range(passes):
+        own = queries.where(F.pmod(F.xxhash64("rid"), F.lit(passes)) == number) if passes > 1 else queries
+        table = own.toArrow().combine_chunks()  # QUERY_BYTES, about: rids are dealt evenly
+        flat = [c.to_numpy() for c in (table["rid"], table["vec_id"])] + [pc.list_flatten(table["v"]).to_numpy().reshape(-1, dims)]
+        part = index.mapInArrow(_search(k, tuple(flat), splits), "query long, query_id long, vec_id long, rid long, score long")
+        part = stage_table(part, "found") if passes > 1 else part
+        found = part if found is None else found.unionByName(part)
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "rid")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
