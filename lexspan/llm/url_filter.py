@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import heavy_join, stage_table
+
 ORDER = 3  # signs of context
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CLASSES = 32  # letters, 0, / . - ? and * for all other signs
@@ -46,10 +48,12 @@ def sign_classes(url: Column) -> Column:
 
 
 def _grams(rows: DataFrame) -> DataFrame:
-    """A row for each sign of column signs, with the signs before it: column gram."""
-    n = F.length("signs")
-    ends = F.when(n > 0, F.sequence(F.lit(1), n))
-    return rows.withColumn("at", F.explode(ends)).withColumn("gram", F.expr(f"substring(concat('{'^' * ORDER}', signs), at, {ORDER + 1})"))
+    """A row for each sign of column signs, with the signs before it: column gram.  The string is cut into signs once, so
+    that the work is linear in its length."""
+    cut = F.transform(F.sequence(F.lit(1), F.length("signs")), lambda i: F.concat(*(F.get("_signs", i + k - 1) for k in range(ORDER + 1))))
+    signs = F.array_remove(F.split(F.concat(F.lit("^" * ORDER), F.col("signs")), ""), "")
+    rows = rows.where(F.length("signs") > 0).withColumn("_signs", signs)
+    return rows.withColumn("gram", F.explode(cut)).drop("_signs")
 
 
 def train_ratio(counts: DataFrame) -> DataFrame:
@@ -86,15 +90,18 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFram
     # One model row for each distinct gram of the table, with its count under either verdict.
     trains = F.col("says").isNotNull() & ~held
     per_gram = _grams(rows).groupBy("gram").agg(F.count_if(trains & (F.col("says") == "allow")).alias("allow"), F.count_if(trains & (F.col("says") == "block")).alias("block"))
+    per_gram = stage_table(per_gram, "grams")
     counts = per_gram.select("gram", F.expr("stack(2, 'allow', allow, 'block', block) as (says, n)"))
-    model = F.broadcast(train_ratio(counts))
+    model = F.broadcast(stage_table(train_ratio(counts), "model"))  # at most 33**3 * 32 rows
 
     # Equal sign strings have equal scores: score each once.
-    need = rows.where(F.col("says").isNull() | held).select("signs").distinct()
-    scores = _grams(need).join(model, "gram").groupBy("signs").agg((F.sum("ratio") / F.count("*")).alias("score"))
-    scored = rows.join(scores, "signs", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    need = rows.where(F.col("says").isNull() | held).groupBy("signs").agg(F.count("*").alias("times"))
+    scores = _grams(need).join(model, "gram").groupBy("signs", "times").agg((F.sum("ratio") / F.count("*")).alias("score"))
+    scores = stage_table(scores, "scores")
+    scored = heavy_join(rows.withColumn("held", held), scores, ["signs"], "times", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    scored = stage_table(scored.select("page_id", "host", "path", "rule", "says", "held", "score"), "scored")
 
-    known = scored.where(F.col("says").isNotNull() & held).groupBy("says").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s"))
+    known = scored.where(F.col("says").isNotNull() & F.col("held")).groupBy("says").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s"))
     both = known.agg(*(F.max(F.when(F.col("says") == v, F.col(c))).alias(f"{c}_{v}") for v in ("allow", "block") for c in "ms"))
     cut = both.select(F.expr("coalesce(case when s_allow + s_block > 0 then (m_allow * s_block + m_block * s_allow) / (s_allow + s_block) else (m_allow + m_block) / 2 end, 0)").alias("cut"))
     says = F.coalesce("says", F.when(F.col("score") >= cut.scalar(), "allow").otherwise("block"))
