@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexspan.llm.common import read_table, stage_table
 from lexspan.llm.language_id import keep_identified
 from lexspan.llm.line_dedup import dedup_lines
-from lexspan.llm.ngram_join import ngram_jaccard_join
+from lexspan.llm.ngram_join import keep_one_of_each_group
 from lexspan.llm.packing import pack_documents
 from lexspan.llm.queries import ranks_file
 
@@ -25,10 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near duplicates; rows without an id stay."""
-    linked = ngram_jaccard_join(docs)
-    gone = linked.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row, that of the smallest doc_id, of each group of near duplicates; rows, not ids, are dropped."""
+    return keep_one_of_each_group(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +92,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sorted_groups(batches, keys: int):
+    """Yields record batches that hold one value of the first keys columns each; input is sorted by them."""
+    held: list[pa.RecordBatch] = []
+
+    def joined():
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        n = len(batch)
+        if not n:
+            continue
+        change = np.zeros(n, bool)
+        for c in range(keys):
+            col = batch.column(c)
+            change[1:] |= pc.not_equal(col.slice(1), col.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            if held and held[-1].column(c)[-1] != col[0]:
+                change[0] = True
+        starts = np.flatnonzero(change).tolist()
+        if not starts or starts[0] > 0:
+            held.append(batch.slice(0, starts[0] if starts else n))
+        for a, b in zip(starts, [*starts[1:], n]):
+            if held:
+                yield joined()
+            held = [batch.slice(a, b - a)]
+    if held:
+        yield joined()
+
+
 def utf8_column(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(offsets, data, valid) of an Arrow string column, without making Python strings.
 

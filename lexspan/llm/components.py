@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import heavy_join, stage_table
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -13,8 +13,9 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps: every round points neighbours at the smallest
     one they see, until the table is a set of stars.  A hub's neighbours are reduced by a partial
-    min; the join that follows has one row per hub on one side, so AQE can split a hot hub.
-    Nulls, self-links and repeated links are dropped.  No links: no rows.
+    min, and the join that follows sends hot hubs by broadcast, the others by shuffle.
+    The rounds needed grow with the logarithm of the longest chain; after max_rounds, far more than any table needs, a
+    RuntimeError is raised rather than a wrong result returned.  Nulls, self-links and repeated links are dropped.  No links: no rows.
     """
     a, b = F.col("a"), F.col("b")
     edges = stage_table(
@@ -23,13 +24,15 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = edges.select("a", "b").unionByName(edges.select(b.alias("a"), a.alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), a).alias("m"))
-        large = both.where(b > a).join(low, "a").select(b.alias("a"), F.col("m").alias("b")).distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), a).alias("m"), F.count("*").alias("n"))
+        large = heavy_join(both, low, ["a"], "n").where(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
+        large = stage_table(large, "large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
+        # after the large star a node's smaller neighbours are few: a hub points at many, few point at many hubs
         tight = large.join(low, "a").select(F.when(b == F.col("m"), a).otherwise(b).alias("a"), F.col("m").alias("b"))
         edges = stage_table(tight.where(a != b).distinct(), "edges")
         row = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
-        if tuple(row) == before:
+        if tuple(row) == before or not row[0]:
             break
         before = tuple(row)
     else:

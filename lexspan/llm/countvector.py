@@ -1,40 +1,40 @@
-"""Count vectors of hashed shingles and the R-tree over them.  NumPy only."""
+"""Count vectors of hashed shingles and the R-tree over them.  NumPy only.
+
+A point has SPREAD groups and more for each shingle, so that two sets' other shingles rarely fall into one group and the sum of
+the smaller counts is close to the true overlap.  It is kept sparse: the ascending groups of its shingles, a group once
+for each.  Points of different resolution are compared at the coarser one.  Boxes hold counts of COARSE groups.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
 LEAF = 16
-COARSE = 64  # groups of the points that the tree holds
-
-
-def count_vector(values: np.ndarray) -> np.ndarray:
-    """Counts of a set's hashes by their leading bits.
-
-    The number of groups is a power of two, 2 to 4 for each member and COARSE at least, so that two sets' other members
-    rarely fall into one group and the overlap bound is close; vectors of different length fold onto each other by
-    adding neighbours.
-    """
-    bits = max((COARSE - 1).bit_length(), int(2 * len(values) - 1).bit_length())
-    while True:
-        counts = np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        if counts.max(initial=0) <= 15:
-            return counts.astype(np.uint8)
-        bits += 1
+COARSE = 64  # groups of the points that the boxes hold
+SPREAD = 64  # groups for each shingle, at least
+_DENSE = 1 << 22  # groups up to which counts are looked up in a table
 
 
-def pack_counts(counts: np.ndarray) -> bytes:
-    """Two counts in a byte."""
-    return (counts[0::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
+def point_of(values: np.ndarray) -> tuple[int, np.ndarray]:
+    """(bits, ascending groups) of a set's ascending hashes: their leading bits."""
+    bits = max((COARSE - 1).bit_length(), int(SPREAD * len(values) - 1).bit_length())
+    return bits, (values >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def unpack_counts(packed: bytes) -> np.ndarray:
-    both = np.frombuffer(packed, np.uint8)
-    return np.stack([both & 15, both >> 4], axis=1).ravel()
+def pack_point(bits: int, groups: np.ndarray) -> bytes:
+    """Gaps between groups, byte plane by byte plane; planes of zeros at the end are left out."""
+    gaps = np.diff(groups, prepend=0).astype("<u8")
+    planes = max(1, -(-int(gaps.max()).bit_length() // 8))
+    return bytes([bits, planes]) + np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
 
 
-def fold(vector: np.ndarray, groups: int) -> np.ndarray:
-    return vector.astype(np.int32) if len(vector) == groups else vector.reshape(groups, -1).sum(1, dtype=np.int32)
+def unpack_point(packed: bytes) -> tuple[int, np.ndarray]:
+    bits, planes = packed[0], packed[1]
+    raw = np.frombuffer(packed, np.uint8, offset=2).reshape(planes, -1)
+    gaps = np.zeros(raw.shape[1], np.int64)
+    for k in range(planes):
+        gaps |= raw[k].astype(np.int64) << (8 * k)
+    return bits, np.cumsum(gaps)
 
 
 def may_reach(overlap, n_a, n_b, percent: int):
@@ -42,52 +42,32 @@ def may_reach(overlap, n_a, n_b, percent: int):
     return (100 + percent) * overlap >= percent * (n_a + n_b)
 
 
-def spanning_pairs(comp: np.ndarray, i: np.ndarray, j: np.ndarray, likeness: np.ndarray) -> np.ndarray:
-    """Positions of the pairs of a maximum spanning forest over components: all pairs together connect nothing
-    that these, the likeliest ones, don't.  comp holds the component, numbered from 0, of each point."""
-    root = list(range(int(comp.max(initial=-1)) + 1))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    kept = []
-    order = np.argsort(-likeness, kind="stable")
-    for k, x, y in zip(order.tolist(), comp[i[order]].tolist(), comp[j[order]].tolist()):
-        x, y = find(x), find(y)
-        if x != y:
-            root[x] = y
-            kept.append(k)
-    return np.array(kept, np.int64)
-
-
 class CountVectorTree:
-    """A packed R-tree over (size, folded counts), bulk loaded by sort-tile order.
+    """A packed R-tree over (size, counts of COARSE groups), bulk loaded by sort-tile order.
 
     A node's box has the least and the largest size and count in each group.  Two nodes are
     joined only if the sum over groups of the smaller of their largest counts, which no pair
     of their points can exceed as an overlap, still reaches the similarity asked for.
     """
 
-    def __init__(self, vectors: list[np.ndarray]):
-        self.vectors = vectors
-        self.size = np.array([int(v.sum(dtype=np.int64)) for v in vectors], np.int64)
-        points = np.array([fold(v, COARSE) for v in vectors], np.int32).reshape(len(vectors), COARSE)
-        spread = points[:, np.argmax(points.var(0))] if len(points) else np.zeros(0)
+    def __init__(self, points: list[tuple[int, np.ndarray]]):
+        self.bits = np.array([b for b, _ in points], np.int64)
+        self.groups = [g for _, g in points]
+        self.size = np.array([len(g) for g in self.groups], np.int64)
+        fine = (COARSE - 1).bit_length()
+        coarse = np.array([np.bincount(g >> (b - fine), minlength=COARSE) for b, g in points], np.int32).reshape(len(points), COARSE)
+        spread = coarse[:, np.argmax(coarse.var(0))] if len(coarse) else np.zeros(0)
         order = np.argsort(self.size, kind="stable")
         tile = LEAF * max(1, int(np.sqrt(max(1, len(order) // LEAF))))
         order = np.concatenate([s[np.argsort(spread[s], kind="stable")] for s in (order[i : i + tile] for i in range(0, len(order), tile))]) if len(order) else order
-        self.order, self.points = order, points
-        lo, hi = np.arange(0, len(order), LEAF), None
+        self.order, self.coarse = order, coarse
+        lo = np.arange(0, len(order), LEAF)
         hi = np.append(lo[1:], len(order))
-        most = np.array([points[order[a:b]].max(0) for a, b in zip(lo, hi)]).reshape(-1, COARSE)
+        most = np.array([coarse[order[a:b]].max(0) for a, b in zip(lo, hi)]).reshape(-1, COARSE)
         small = np.array([self.size[order[a:b]].min() for a, b in zip(lo, hi)], np.int64)
         large = np.array([self.size[order[a:b]].max() for a, b in zip(lo, hi)], np.int64)
         # levels[0] holds the leaves; a node of level k + 1 has the LEAF nodes of level k below it
         self.levels = [(most, small, large)]
-        self.leaves = list(zip(lo.tolist(), hi.tolist()))
         while len(self.levels[-1][0]) > 1:
             m, s, g = self.levels[-1]
             cut = range(0, len(m), LEAF)
@@ -104,13 +84,8 @@ class CountVectorTree:
             keep = keep[may_reach(bound, small[a[keep]], small[b[keep]], percent)]
         return keep
 
-    def pairs(self, percent: int, wanted=None):
-        """Yields (i, j) index arrays of pairs i < j whose overlap bound reaches percent; wanted(i, j) -> mask."""
-        for i, j, _ in self.bounded_pairs(percent, wanted):
-            yield i, j
-
-    def bounded_pairs(self, percent: int, wanted=None, step: int = 1 << 15):
-        """Yields (i, j, bound) arrays of pairs i < j whose overlap bound reaches percent; wanted(i, j) -> mask."""
+    def pairs(self, percent: int, wanted=None, step: int = 1 << 11):
+        """Yields (i, j) index arrays of pairs i < j that boxes and counts of COARSE groups leave; wanted(i, j) -> mask."""
         if len(self.size) < 2:
             return
         stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
@@ -134,22 +109,75 @@ class CountVectorTree:
                 continue
             i, j = self.order[x], self.order[y]
             i, j = np.minimum(i, j), np.maximum(i, j)
-            if wanted is not None:
-                ok = wanted(i, j)
-                i, j = i[ok], j[ok]
             n, m = self.size[i], self.size[j]
             ok = (100 * n >= percent * m) & (100 * m >= percent * n)
             i, j, n, m = i[ok], j[ok], n[ok], m[ok]
-            ok = may_reach(np.minimum(self.points[i], self.points[j]).sum(1), n, m, percent)
+            ok = may_reach(np.minimum(self.coarse[i], self.coarse[j]).sum(1), n, m, percent)
             i, j = i[ok], j[ok]
-            bound = np.fromiter((self._overlap_bound(p, q) for p, q in zip(i.tolist(), j.tolist())), np.int64, len(i))
-            ok = may_reach(bound, self.size[i], self.size[j], percent)
-            if ok.any():
-                yield i[ok], j[ok], bound[ok]
-
-    def _overlap_bound(self, i: int, j: int) -> int:
-        u, v = self.vectors[i], self.vectors[j]
-        groups = min(len(u), len(v))
-        if len(u) == len(v):
-            return int(np.minimum(u, v).sum(dtype=np.int64))
-        return int(np.minimum(fold(u, groups), fold(v, groups)).sum())
+            if wanted is not None and len(i):
+                ok = wanted(i, j)
+                i, j = i[ok], j[ok]
+            if len(i):
+                yield i, j
+
+    def overlap_bounds(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Sum over all groups of the smaller count, of point i with each of others."""
+        out = np.zeros(len(others), np.int64)
+        for bits in np.unique(self.bits[others]).tolist():
+            at = np.flatnonzero(self.bits[others] == bits)
+            common = min(bits, int(self.bits[i]))
+            own = self.groups[i] >> (self.bits[i] - common)
+            parts = [self.groups[j] for j in others[at].tolist()]
+            ends = np.cumsum([len(p) for p in parts])
+            all_ = np.concatenate(parts) >> (bits - common)
+            # how often a group came before in the same point
+            place = np.arange(len(all_))
+            first = np.ones(len(all_), bool)
+            first[1:] = all_[1:] != all_[:-1]
+            first[ends[:-1]] = True
+            before = place - np.maximum.accumulate(np.where(first, place, 0))
+            if 1 << common <= _DENSE:
+                count = np.bincount(own, minlength=1 << common)[all_]
+            else:
+                groups, counts = np.unique(own, return_counts=True)
+                near = np.minimum(np.searchsorted(groups, all_), len(groups) - 1)
+                count = np.where(groups[near] == all_, counts[near], 0)
+            out[at] = np.add.reduceat((before < count).astype(np.int64), np.concatenate([[0], ends[:-1]]))
+        return out
+
+    def survivors(self, percent: int, comp: np.ndarray, wanted=None, spanning: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (i, j) of different components whose overlap bound reaches percent.
+
+        With spanning, only those of a spanning forest over components: points are taken one by one, those of most
+        candidates first; what a point's survivors connect isn't looked at again.  comp is the component of each point.
+        """
+        found = list(self.pairs(percent, wanted))
+        none = np.zeros(0, np.int64)
+        if not found:
+            return none, none
+        i, j = (np.concatenate(x) for x in zip(*found))
+        source, target = np.concatenate([i, j]), np.concatenate([j, i])
+        order = np.argsort(source, kind="stable")
+        target, per = target[order], np.bincount(source, minlength=len(self.size))
+        ends = np.cumsum(per)
+        comp, done, out = comp.copy(), np.zeros(len(self.size), bool), []
+        for u in np.argsort(-per, kind="stable").tolist():
+            if not per[u]:
+                break
+            done[u] = True
+            near = target[ends[u] - per[u] : ends[u]]
+            near = near[~done[near] & (comp[near] != comp[u])]
+            if not len(near):
+                continue
+            bound = self.overlap_bounds(u, near)
+            ok = may_reach(bound, self.size[u], self.size[near], percent)
+            near, bound = near[ok], bound[ok]
+            if spanning and len(near):
+                # the likeliest of each component
+                likeness = bound / (self.size[u] + self.size[near] - bound)
+                best = np.lexsort((near, -likeness, comp[near]))
+                best = best[np.unique(comp[near][best], return_index=True)[1]]
+                near = near[best]
+                comp[np.isin(comp, comp[near])] = comp[u]
+            out.append((np.full(len(near), u), near))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (none, none)

@@ -2,46 +2,54 @@
 
 Shingles are hashed into groups; a document's point is its count in each group; the sum over groups of the
 smaller count bounds the overlap of two documents from above, so a pair whose bound is too small is dropped
-without looking at its shingles, and what is left is verified on the whole sets.
+without looking at its shingles, and what is left is verified on the whole sets.  Points have so many groups that the bound
+is within about 1 % of the overlap: few pairs under the similarity asked for get as far as their texts.
 
-A box of count vectors is selective only with as many groups as a document has shingles, so boxes alone can't
+Boxes of count vectors are selective only with as many groups as a document has shingles, so boxes alone can't
 deal documents out to machines.  Blocks do that: documents that share the least shingle hash under one of
 ``tables`` hash orders meet in a block.  A pair at similarity s shares no block with probability
-(1 - s) ** tables: under 1e-12 at 0.75 with 20.  Inside a block an R-tree finds the pairs.  Before that,
-each document is verified against the block leader it meets most often; groups of near copies fall into one
-component by that, and only blocks that still hold several components are searched.  The search first gives each
-block's likeliest pairs that connect all that its pairs could connect, a spanning forest, so that a loose group
-isn't written out pair by pair.  Where all of these hold, the block's other pairs can't merge anything; where one fails,
-the block is searched once more for all pairs between the components that are left.
+(1 - s) ** tables: 1e-12 at 0.75 with 20.  A block of over HOT_BLOCK unlinked rows (a shingle that is the least one of very many
+documents that are no copies) is dealt out once more, by a second order, and there a pair must agree in two of the 20: it is lost
+with probability 6e-11 at 0.75.
+
+Equal sets are one node, known by 128 bits.  First each node is verified against the block leader it meets most often; groups of near
+copies fall into one component by that.  Only blocks that still hold several components are searched by their R-tree, for a
+spanning forest of survivors, so that a group isn't written out pair by pair.  Where all of these hold, the block's other
+survivors can't merge anything; a block where one fails between components that stay apart is searched once more for all survivors.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import row_windows, stage_table, utf8_column
+from .common import heavy_join, row_windows, sorted_groups, stage_table, utf8_column
 from .components import connected_components
-from .countvector import CountVectorTree, count_vector, pack_counts, spanning_pairs, unpack_counts
+from .countvector import CountVectorTree, pack_point, point_of, unpack_point
+from .line_dedup import hash128
 
 WINDOW = 2 << 20  # bytes of text handled at a time
 TABLES = 20
 BLOCK = 1024  # rows of a block that one task searches at a time
 HOT_BLOCK = 8 * BLOCK  # rows outside its largest component from which a block is dealt out anew
 LEADERS = 4
-MEMBERS = 500  # members verified against one copy of their leader
-HELD = 1 << 20  # pairs of a cell held before they are cut down to a spanning forest
+MEMBERS = 250  # members verified against one copy of their leader
+BROADCAST_ROWS = 200_000  # rows (ids only) sent to every task at most; beyond, texts are joined by shuffle
 
-_SIGNATURE = "doc_id long, n_shingles long, digest long, lows array<long>, counts binary"
+_SIGNATURE = "doc_id long, t1 long, t2 long, n_shingles long, d1 long, d2 long, lows array<long>, point binary"
 _SALTS = K.mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
 
 
-def _digest(values: np.ndarray) -> int:
-    total = int(K.mix64(values ^ np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64)) + len(values) * 0x9FB21C651E98DF25
-    return int(np.array(total % (1 << 64), np.uint64).view(np.int64))
+def _digest(values: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set."""
+    out = []
+    for salt in (0x94D049BB133111EB, 0xBF58476D1CE4E5B9):
+        total = int(K.mix64(values ^ np.uint64(salt)).sum(dtype=np.uint64)) + len(values) * 0x9FB21C651E98DF25
+        out.append(int(np.array(total % (1 << 64), np.uint64).view(np.int64)))
+    return out[0], out[1]
 
 
 def _sets(col, width: int):
@@ -52,92 +60,93 @@ def _sets(col, width: int):
 
 
 def _signatures(width: int, tables: int):
+    """(doc_id, t1, t2, text) -> rows of _SIGNATURE."""
+    order = np.arange(tables, dtype=np.uint64)
+
     def run(batches):
-        out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.int64()), ("lows", pa.list_(pa.int64())), ("counts", pa.binary())])
         for batch in batches:
-            n, digest, lows, counts = [], [], [], []
-            for values in _sets(batch.column(1), width):
-                n.append(len(values))
+            rows = []
+            for values in _sets(batch.column(3), width):
                 if not len(values):
-                    digest.append(None), lows.append(None), counts.append(None)
+                    rows.append((0, None, None, None, None))
                     continue
-                digest.append(_digest(values))
                 low = np.array([((values ^ _SALTS[k]) * _SALTS[-1 - k]).min() for k in range(tables)], np.uint64)
-                lows.append(K.mix64(low + np.arange(tables, dtype=np.uint64)).view(np.int64))
-                counts.append(pack_counts(count_vector(values)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.int64()), pa.array(lows, pa.list_(pa.int64())), pa.array(counts, pa.binary())], schema=out)
+                rows.append((len(values), *_digest(values), K.mix64(low + order).view(np.int64), pack_point(*point_of(values))))
+            n, d1, d2, lows, point = zip(*rows) if rows else [[]] * 5
+            cols = [pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(lows, pa.list_(pa.int64())), pa.array(point, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), *cols], names=["doc_id", "t1", "t2", "n_shingles", "d1", "d2", "lows", "point"])
 
     return run
 
 
 def _verifier(width: int, percent: int):
+    """(a, salt, role, b, d1, d2, text), leaders (role 0) first -> the pairs (a, b) that reach percent."""
+
     def run(batches):
-        out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         at, leader = None, None
         for batch in batches:
-            a = batch.column(0).to_numpy(zero_copy_only=False)
-            salt = batch.column(1).to_numpy(zero_copy_only=False)
-            role = batch.column(2).to_numpy(zero_copy_only=False)
-            node = batch.column(3).to_numpy(zero_copy_only=False)
+            a, salt, role, b, d1, d2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(6))
             found = []
-            for i, values in enumerate(_sets(batch.column(4), width)):
-                if not len(values) or _digest(values) != node[i]:
+            for i, values in enumerate(_sets(batch.column(6), width)):
+                if not len(values) or _digest(values) != (d1[i], d2[i]):
                     continue  # another row that has the same id
                 if role[i] == 0:
                     at, leader = (a[i], salt[i]), values
                 elif at == (a[i], salt[i]):
                     both = len(np.intersect1d(leader, values, assume_unique=True))
                     if 100 * both >= percent * (len(leader) + len(values) - both):
-                        found.append((int(a[i]), int(node[i])))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=out)
+                        found.append((int(a[i]), int(b[i])))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=schema)
 
     return run
 
 
 def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets reach percent.  Texts of b stream past the set of a;
-    a hot a is split over salts, each with its own copy of a."""
-    # distinct() also holds back repeated candidates of other blocks
-    load = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("salts"))
-    heads = nodes.select(F.col("digest").alias("node"), "head")
-    members = pairs.join(load, "a").select("a", F.expr("pmod(xxhash64(b), salts)").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("node"))
-    leaders = load.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("node"))
-    need = members.unionByName(leaders).join(heads, "node").select("a", "salt", "role", "node", F.col("head").alias("doc_id"))
-    dealt = (
-        docs.select("doc_id", "text")
-        .join(need.hint("shuffle_hash"), "doc_id")
-        .select("a", "salt", "role", "node", "text")
-        .repartition(F.col("a"), F.col("salt"))
-        .sortWithinPartitions("a", "salt", "role")
-    )
-    return dealt.mapInArrow(_verifier(width, percent), "a long, b long")
+    a hot a is split over salts, each with its own copy of a.  Only texts that a pair asks for are dealt out.  Equal texts under
+    one id, and other texts under it with another set, do no harm: found pairs are distinct, and a text is known by its set."""
+    load = stage_table(pairs.groupBy("a").agg(F.count("*").alias("n")), "load")
+    salts = F.ceil(F.col("n") / MEMBERS)
+    members = heavy_join(pairs, load, ["a"], "n").select("a", F.pmod(F.xxhash64("b"), salts).alias("salt"), F.lit(1).alias("role"), F.col("b").alias("node"))
+    leaders = load.select("a", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("node"))
+    need = members.unionByName(leaders).join(nodes.select("node", "head", "d1", "d2"), "node")
+    need = stage_table(need.select("a", "salt", "role", F.col("node").alias("b"), "d1", "d2", F.col("head").alias("doc_id")), "need")
+    few = need.count() <= BROADCAST_ROWS
+    texts = docs.select("doc_id", "text").join(F.broadcast(need) if few else need.hint("shuffle_hash"), "doc_id")
+    dealt = texts.select("a", "salt", "role", "b", "d1", "d2", "text").repartition(F.col("a"), F.col("salt")).sortWithinPartitions("a", "salt", "role")
+    return dealt.mapInArrow(_verifier(width, percent), "a long, b long").distinct()
 
 
 def _stars(multi: DataFrame, tables: int) -> DataFrame:
-    """Pairs (a, b) of block leaders and members to verify first: for each b the LEADERS leaders it meets most often.
+    """Pairs (a, b) to verify first: for each b of the LEADERS leaders of each of its blocks the one it meets most often.
 
     A block is led by its most central node, the one whose blocks are the largest, and by the first nodes in a few hash orders.
     """
     central = multi.groupBy("node").agg(F.sum("size").alias("weight"))
-    rows = multi.select("key", "node").join(central, "node")
+    rows = stage_table(multi.select("key", "node").join(central, "node"), "weights")
     orders = [F.min(F.struct(F.xxhash64("node", F.lit(s)).alias("h"), "node"))["node"] for s in range(LEADERS - 1)]
-    leads = rows.groupBy("key").agg(F.array(F.max(F.struct("weight", "node"))["node"], *orders).alias("leads"))
-    met = rows.join(leads, "key").select("node", F.explode(F.array_distinct("leads")).alias("lead")).where("node <> lead")
-    met = met.groupBy("node", "lead").agg(F.count("*").alias("met")).where(F.col("met") * 10 >= tables * 3)
-    best = Window.partitionBy("node").orderBy(F.desc("met"), "lead")
-    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LEADERS).select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    leads = rows.groupBy("key").agg(F.count("*").alias("size"), F.array(F.max(F.struct("weight", "node"))["node"], *orders).alias("leads"))
+    leads = stage_table(leads, "leads")
+    met = heavy_join(rows.select("key", "node"), leads, ["key"], "size").select("node", F.explode(F.array_distinct("leads")).alias("lead")).where("node <> lead")
+    met = met.groupBy("node", "lead").agg(F.count("*").alias("met")).where(F.col("met") * 2 >= tables)
+    best = met.groupBy("node").agg(F.max(F.struct("met", (-F.col("lead")).alias("minus"))).alias("best"))
+    return best.select((-F.col("best.minus")).alias("a"), F.col("node").alias("b"))
 
 
-_CELL = ("key", "i", "j", "slot", "node", "comp", "base", "low", "lows", "counts")
+_CELL = ["key", "i", "j", "slot", "node", "comp", "base", "low", "lows", "point"]
 
 
-def _searcher(percent: int, spanning: bool):
-    def search(cell, out):
-        node, comp, slot = (np.array(cell[x], np.int64) for x in ("node", "comp", "slot"))
+def _searcher(percent: int, spanning: bool, tables: int):
+    """Cells of blocks, rows _CELL sorted by key, i, j -> (base, a, b): pairs of nodes that survive the R-tree."""
+    schema = pa.schema([("base", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def search(cell):
+        slot, node, comp = (cell.column(c).to_numpy() for c in (3, 4, 5))
         if len(node) < 2 or (comp == comp[0]).all():
-            return
-        i, j, base, low = cell["i"][0], cell["j"][0], cell["base"][0], cell["low"][0]
-        lows = np.array(cell["lows"], np.int64)
+            return None
+        i, j, base, low = (cell.column(c)[0].as_py() for c in (1, 2, 6, 7))
+        lows = cell.column(8).flatten().to_numpy().reshape(-1, tables)
 
         def wanted(p, q):
             ok = comp[p] != comp[q]
@@ -156,78 +165,49 @@ def _searcher(percent: int, spanning: bool):
             ok[at] = own
             return ok
 
-        def give(p, q):
-            x, y = node[p], node[q]
-            out.append(np.stack([np.full(len(x), base), np.minimum(x, y), np.maximum(x, y)]))
-
-        tree = CountVectorTree([unpack_counts(v) for v in cell["counts"]])
-        if not spanning:
-            for p, q in tree.pairs(percent, wanted):
-                give(p, q)
-            return
-        number, held = np.unique(comp, return_inverse=True)[1], []
-
-        def cut():
-            p, q, bound = (np.concatenate(x) for x in zip(*held))
-            best = spanning_pairs(number, p, q, bound / (tree.size[p] + tree.size[q] - bound))
-            held[:] = [(p[best], q[best], bound[best])]
-
-        for found in tree.bounded_pairs(percent, wanted):
-            held.append(found)
-            if sum(len(x) for x, _, _ in held) > HELD:
-                cut()
-        if held:
-            cut()
-            give(*held[0][:2])
+        tree = CountVectorTree([unpack_point(v) for v in cell.column(9).to_pylist()])
+        x, y = tree.survivors(percent, comp, wanted, spanning)
+        x, y = node[x], node[y]
+        keep = x != y
+        low_, high = np.minimum(x, y)[keep], np.maximum(x, y)[keep]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(low_), base, np.int64)), pa.array(low_), pa.array(high)], schema=schema)
 
     def run(batches):
-        schema = pa.schema([("base", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-        now, cell = None, None
-
-        def emit(out):
-            found = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
-            found = found[:, found[1] != found[2]]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=schema)
-
-        for batch in batches:
-            out = []
-            rows = batch.to_pydict()
-            for row in zip(*(rows[c] for c in _CELL)):
-                if row[:3] != now:
-                    if cell:
-                        search(cell, out)
-                    now, cell = row[:3], {c: [] for c in _CELL}
-                for c, value in zip(_CELL, row):
-                    cell[c].append(value)
-            yield emit(out)
-        out = []
-        if cell:
-            search(cell, out)
-        yield emit(out)
+        for cell in sorted_groups(batches, 3):
+            if (out := search(cell)) is not None and len(out):
+                yield out
 
     return run
 
 
 def _open_blocks(rows: DataFrame) -> DataFrame:
     """Rows (key, node, comp, ...) of blocks that hold more than one component, with the block's size, its largest
-    component and the number of rows outside that."""
+    component and the number of rows outside that.  rows is read twice."""
     each = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     blocks = each.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps"))
     blocks = blocks.where("comps > 1").select("key", "size", F.col("most.comp").alias("main"), (F.col("size") - F.col("most.n")).alias("others"))
-    return rows.join(blocks, "key")
+    return heavy_join(rows, stage_table(blocks, "blocks"), ["key"], "size")
+
 
+def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the component of a node column, the node itself where it has no link."""
+    own = labels.select(F.col("id").alias(column), F.col("component").alias(name))
+    return rows.join(own, column, "left").withColumn(name, F.coalesce(name, column))
 
-def _candidates(multi: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, spanning: bool) -> DataFrame:
+
+def _candidates(multi: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, tables: int, spanning: bool) -> DataFrame:
     """Rows (base, a, b): pairs of nodes in different components that meet in a block, base, and that the R-tree can't rule
     out; with spanning, only those that connect the components of a cell.  A pair belongs to one cell of one block."""
-    labels = labels.select(F.col("id").alias("node"), F.col("component"))
-    rows = multi.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    rows = stage_table(_labelled(multi.select("key", "node"), labels, "node", "comp"), "labelled")
     rows = stage_table(_open_blocks(rows), "open")
     # A block of one frequent shingle, in many documents that are no copies: its rows meet again under each of the other orders.
-    lows = nodes.select(F.col("digest").alias("node"), "lows")
-    again = rows.where(F.col("others") > HOT_BLOCK).select("key", "node", "comp").join(lows, "node").select("node", "comp", F.col("key").alias("base"), F.explode(F.array_except("lows", F.array("key"))).alias("low"))
-    again = _open_blocks(again.withColumn("key", F.xxhash64("base", "low")))
-    rows = rows.where(F.col("others") <= HOT_BLOCK).withColumns({"base": F.col("key"), "low": F.lit(None).cast("long")}).unionByName(again)
+    lows = nodes.select("node", "lows")
+    hot = rows.where(F.col("others") > HOT_BLOCK)
+    rows = rows.where(F.col("others") <= HOT_BLOCK).withColumns({"base": F.col("key"), "low": F.lit(None).cast("long")})
+    if not hot.isEmpty():
+        again = hot.select("key", "node", "comp").join(lows, "node").select("node", "comp", F.col("key").alias("base"), F.explode(F.array_except("lows", F.array("key"))).alias("low"))
+        again = stage_table(again.withColumn("key", F.xxhash64("base", "low")), "again")
+        rows = rows.unionByName(_open_blocks(again))
     # The largest component of a block is compared with the others only, slot by slot; if the others are too many
     # still, all rows are compared slot against slot.
     rows = rows.withColumns({"slots": F.ceil(F.col("size") / BLOCK), "few": F.col("others") <= BLOCK, "in_main": F.col("comp") == F.col("main")})
@@ -236,10 +216,42 @@ def _candidates(multi: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
     rows = rows.withColumn("t", F.explode(cells))
     i = F.when(F.col("few"), F.col("t")).otherwise(F.least("slot", "t"))
     j = F.when(F.col("few"), F.lit(-1)).otherwise(F.greatest("slot", "t"))
-    rows = rows.select("key", i.alias("i"), j.alias("j"), "slot", "node", "comp", "base", "low")
-    points = nodes.select(F.col("digest").alias("node"), "lows", "counts")
-    dealt = rows.join(points, "node").select(*_CELL).repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(_searcher(percent, spanning), "base long, a long, b long")
+    rows = stage_table(rows.select("key", i.alias("i"), j.alias("j"), "slot", "node", "comp", "base", "low"), "cells")
+    dealt = rows.join(nodes.select("node", "lows", "point"), "node").select(*_CELL).repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(_searcher(percent, spanning, tables), "base long, a long, b long")
+
+
+def _linked(docs: DataFrame, width: int, percent: int, tables: int) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, t1, t2 (the text's hash), n_shingles, component_id (null without shingles, or
+    where the id is null and no row with an id has an equal set); a row for each row."""
+    t1, t2 = hash128("text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = stage_table(docs.select("doc_id", t1.alias("t1"), t2.alias("t2"), "text").mapInArrow(_signatures(width, tables), _SIGNATURE), "signatures")
+    nodes = signed.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("head"), F.first("lows").alias("lows"), F.first("point").alias("point"))
+    nodes = stage_table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    entries = nodes.select("node", F.explode("lows").alias("key"))
+    blocks = stage_table(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "blocks")
+    multi = stage_table(heavy_join(entries, blocks, ["key"], "size"), "multi")
+    stars = stage_table(_stars(multi, tables), "stars")
+    links = stage_table(_verify(docs, nodes, stars, width, percent), "links")
+
+    labels = connected_components(links)
+    for spanning in (True, False):
+        pairs = stage_table(_candidates(multi, nodes, labels, percent, tables, spanning), "pairs")
+        if pairs.isEmpty():
+            break
+        found = stage_table(_verify(docs, nodes, pairs.select("a", "b").distinct(), width, percent), "found")
+        links = links.unionByName(found)
+        labels = connected_components(links)
+        failed = _labelled(_labelled(pairs.join(found, ["a", "b"], "left_anti"), labels, "a", "ca"), labels, "b", "cb")
+        failed = failed.where("ca <> cb").select(F.col("base").alias("key")).distinct()
+        multi = multi.join(failed, "key", "left_semi")
+
+    known = _labelled(nodes.select("node", "d1", "d2", "head"), labels, "node", "comp")
+    least = known.groupBy("comp").agg(F.min("head").alias("component_id"))
+    placed = stage_table(known.join(least, "comp").select("d1", "d2", "component_id"), "placed")
+    return signed.select("doc_id", "t1", "t2", "n_shingles", "d1", "d2").join(placed, ["d1", "d2"], "left").drop("d1", "d2")
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, tables: int = TABLES) -> DataFrame:
@@ -251,33 +263,34 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, table
 
     Null and empty texts and texts without words have 0 shingles and are their own component.  A null doc_id
     takes part in the count only: its component_id is null unless an equal set has an id.  Repeated rows keep a row each.
-    Rows of one doc_id with different texts are different nodes.  Other columns are not read.  Copies are
+    Rows of one doc_id with different texts are different nodes.  Other columns are not read.  Copies and repeated rows are
     collapsed before any pair is made.  No rows: no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    signed = stage_table(docs.mapInArrow(_signatures(width, tables), _SIGNATURE), "signatures")
-    heads = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("head"))
-    nodes = signed.select(F.col("digest"), F.col("doc_id").alias("head"), "lows", "counts").join(heads, ["digest", "head"])
-    nodes = stage_table(nodes, "nodes")
-
-    entries = nodes.select(F.col("digest").alias("node"), F.explode("lows").alias("key"))
-    blocks = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    multi = stage_table(entries.join(blocks, "key"), "multi")
-    stars = _stars(multi, tables)
-    links = stage_table(_verify(docs, nodes, stars, width, percent), "stars")
+    return _linked(docs, width, percent, tables).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
-    labels = connected_components(links)
-    for spanning in (True, False):
-        pairs = stage_table(_candidates(multi, nodes, labels, percent, spanning), "pairs")
-        if pairs.isEmpty():
-            break
-        found = stage_table(_verify(docs, nodes, pairs.select("a", "b"), width, percent), "found")
-        links = links.unionByName(found)
-        labels = connected_components(links)
-        failed = pairs.join(found, ["a", "b"], "left_anti").select(F.col("base").alias("key")).distinct()
-        multi = multi.join(failed, "key", "left_semi")
 
-    known = heads.join(labels, heads.digest == labels.id, "left").select("digest", "head", F.coalesce("component", "digest").alias("comp"))
-    least = known.groupBy("comp").agg(F.min("head").alias("component_id"))
-    placed = known.join(least, "comp").select("digest", "component_id")
-    return signed.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+def keep_one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 75, tables: int = TABLES) -> DataFrame:
+    """docs (doc_id, text, ...) without the near duplicates: of each component one row stays, that of the smallest doc_id.
+
+    Of several texts under that id the one of the least hash stays, and of rows that repeat id and text the one whose other columns
+    come first as JSON.  Rows without shingles all stay, as do those of a null doc_id that equal no row with an id.
+    Columns are passed through, whatever their names.  docs is read several times.  No rows: no rows.
+    """
+    rows = stage_table(_linked(docs, width, percent, tables).where("component_id is not null"), "grouped")
+    key = ["doc_id", "t1", "t2"]
+    best = rows.where("doc_id is not null").groupBy("component_id").agg(F.min(F.struct(*key)).alias("best")).select("best.*")
+    counted = stage_table(rows.groupBy(*key).agg(F.count("*").alias("n")), "counted")
+    gone = stage_table(counted.join(best, key, "left_anti").select(*key), "gone")
+    again = stage_table(counted.where("n > 1").join(best, key, "left_semi").select(*key), "again")
+    t1, t2 = hash128("text")
+
+    def same(facts: DataFrame):
+        return F.col("doc_id").cast("long").eqNullSafe(facts["_id"]) & (t1 == facts["_1"]) & (t2 == facts["_2"])
+
+    gone, again = (x.select(F.col("doc_id").alias("_id"), F.col("t1").alias("_1"), F.col("t2").alias("_2")) for x in (gone, again))
+    kept = docs.join(gone, same(gone), "left_anti")
+    if again.isEmpty():
+        return kept
+    others = F.to_json(F.struct(*(F.col(c) for c in docs.columns if c != "text")))
+    first = docs.join(again, same(again), "left_semi").groupBy(F.col("doc_id").alias("_id"), t1.alias("_1"), t2.alias("_2")).agg(F.min_by(F.struct(*docs.columns), others).alias("_row"))
+    return kept.join(again, same(again), "left_anti").unionByName(first.select("_row.*"))

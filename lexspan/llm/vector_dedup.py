@@ -22,11 +22,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import sorted_groups, stage_table
 from .components import connected_components
 
 SIGMAS = 6.0  # bound on an estimate's error, in its standard deviations
@@ -145,34 +144,6 @@ def _code(count: int, visits: int, dims: int):
     return run
 
 
-def _groups(batches, keys: int):
-    """Yields record batches that hold one value of the first keys columns each; input is sorted by them."""
-    held: list[pa.RecordBatch] = []
-
-    def joined():
-        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    for batch in batches:
-        n = len(batch)
-        if not n:
-            continue
-        change = np.zeros(n, bool)
-        for c in range(keys):
-            col = batch.column(c)
-            change[1:] |= pc.not_equal(col.slice(1), col.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-            if held and held[-1].column(c)[-1] != col[0]:
-                change[0] = True
-        starts = np.flatnonzero(change).tolist()
-        if not starts or starts[0] > 0:
-            held.append(batch.slice(0, starts[0] if starts else n))
-        for a, b in zip(starts, [*starts[1:], n]):
-            if held:
-                yield joined()
-            held = [batch.slice(a, b - a)]
-    if held:
-        yield joined()
-
-
 def _earlier(cells: np.ndarray, cell: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether the rows of each pair (i, j) share a cell below cell."""
     known, place = np.unique(np.where(cells < cell, cells, -1), return_inverse=True)
@@ -222,7 +193,7 @@ def _candidates(threshold: float, visits: int, tag):
         )
 
     def run(batches):
-        for rows in _groups(batches, 4):
+        for rows in sorted_groups(batches, 4):
             if (out := tile(rows)) is not None:
                 yield out
 
@@ -246,7 +217,7 @@ def _recompute(threshold: float, dims: int):
     schema = pa.schema([("node", pa.int64()), ("n_links", pa.int64()), ("root", pa.int64())])
 
     def run(batches):
-        for rows in _groups(batches, 4):
+        for rows in sorted_groups(batches, 4):
             at = rows.column(4).to_numpy()
             pairs = np.frombuffer(rows.column(6)[0].as_py(), "<u2").astype(np.int64).reshape(2, -1)
             members = rows.slice(1)
