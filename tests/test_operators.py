@@ -97,7 +97,7 @@ def test_parse_and_chunk(spark):
              frag(1, 150, 200, "June 27, 2026", 260, bold=True, size=8.0), frag(1, 150, 300, "June 28, 2025", 360, bold=True, size=8.0), frag(1, 165, 20, "iPhone"), frag(1, 165, 230, "54,252", 260), frag(1, 165, 330, "44,582", 360),
              frag(1, 177, 20, "Total"), frag(1, 177, 230, "60,000", 260), frag(1, 177, 330, "(5)", 360), frag(1, 400, 20, "SIGNATURES"), frag(1, 420, 20, "signed words here")]
     filings = spark.createDataFrame([("d", "10-Q", "Co")], "doc_id string, form_type string, company_name string")
-    blocks = parse.parse_fragments(spark.createDataFrame(frags, parse.FRAGMENT), filings)
+    blocks = parse.parse_fragments(spark.createDataFrame(frags, parse.FRAGMENT), filings).cache()
     got = [r.asDict(recursive=True) for r in blocks.orderBy("block_seq").collect()]
     assert [b["kind"] for b in got] == ["heading", "heading", "paragraph", "paragraph", "table", "paragraph", "paragraph"]
     assert got[2]["block_text"] == body + " about the quarter." and got[2]["item_code"] == "10Q-P1-I2"
