@@ -38,14 +38,23 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] | No
     return fresh.unionByName(old.join(fresh.select(*keys), keys, "left_anti"))
 
 
+def embed_todo(records: DataFrame, cache: DataFrame) -> DataFrame:
+    """content_hash, embed_text of the records that the cache lacks, equal texts once."""
+    return records.select("content_hash", "embed_text").dropDuplicates(["content_hash"]).join(cache.select("content_hash"), "content_hash", "left_anti")
+
+
+def coverage(records: DataFrame, keys: list[str], *facts) -> DataFrame:
+    """Which keys the store holds, with the number of chunks of each and further aggregates."""
+    return records.groupBy(*keys).agg(F.count("*").alias("chunks"), *facts)
+
+
 def embed_incremental(records: DataFrame, cache: DataFrame, embed: Callable) -> tuple[DataFrame, DataFrame]:
     """(records with embedding, counts): only rows whose content hash the cache lacks go through embed, a pandas UDF of text.
 
     Equal texts are embedded once.
     """
     known = cache.select("content_hash", "embedding").dropDuplicates(["content_hash"])
-    todo = records.select("content_hash", "embed_text").dropDuplicates(["content_hash"]).join(known, "content_hash", "left_anti")
-    made = todo.select("content_hash", embed(F.col("embed_text")).alias("embedding"))
+    made = embed_todo(records, known).select("content_hash", embed(F.col("embed_text")).alias("embedding"))
     out = records.drop("embedding").join(known.unionByName(made), "content_hash", "left")
     counts = records.join(known.select("content_hash", F.lit(1).alias("hit")), "content_hash", "left").agg(F.count_if(F.col("hit").isNull()).alias("embedded"), F.count_if(F.col("hit").isNotNull()).alias("reused"))
     return out, counts
