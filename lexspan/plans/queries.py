@@ -120,34 +120,23 @@ def hybrid_rrf(spark, d):
     return search.fuse(search.vector_candidates(_query_vectors(spark, d), scoped), lexical)
 
 
-_CAP_SQL = f"""WITH {_FUSE_SQL},
-h AS (SELECT f.*, CASE WHEN d.lang = 'en' THEN 'table' ELSE 'prose' END AS chunk_type FROM fused f JOIN documents d ON d.doc_id = f.id),
-p AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS place FROM h),
-c AS (SELECT *, min(CASE WHEN place <= 8 THEN CAST(chunk_type = 'table' AS INT) END) OVER (PARTITION BY question_id) AS t FROM p)
-SELECT question_id, id, fusion, vector_rank, keyword_rank, rank, NULL::DOUBLE AS rerank, 'rrf_only' AS mode FROM c WHERE place <= CASE WHEN t = 1 THEN 8 ELSE 6 END"""
-
-
-@query(_CAP_SQL)
-def hybrid_search(spark, d):
-    corpus = _corpus(spark, d).withColumn("chunk_type", F.when(F.col("lang") == "en", "table").otherwise("prose"))
-    return search.search(_questions(spark, d), corpus, _vectors(spark, d), _query_vectors(spark, d))
-
-
 @query("SELECT source, count(*) AS docs FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) GROUP BY source")
 def allowlist_semi(spark, d):
-    return _corpus(spark, d).groupBy("source").agg(F.count("*").alias("docs"))
+    labels = _t(spark, d, "labels").select(F.col("doc_id").alias("document_id"), F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "ready").otherwise("pending").alias("ingest_status"))
+    ready = search.ready_documents(labels).withColumnRenamed("document_id", "doc_id")
+    return _t(spark, d, "documents").join(ready, "doc_id", "left_semi").groupBy("source").agg(F.count("*").alias("docs"))
 
 
 @query("""WITH r AS (SELECT doc_id, sha256('hash-16' || chr(31) || coalesce(text, '')) AS content_hash FROM documents), c AS (SELECT DISTINCT content_hash FROM r WHERE doc_id % 3 = 0)
 SELECT DISTINCT content_hash FROM r WHERE content_hash NOT IN (SELECT content_hash FROM c)""")
 def embed_todo_anti(spark, d):
     r = _t(spark, d, "documents").select("doc_id", F.sha2(F.concat(F.lit("hash-16\x1f"), F.coalesce("text", F.lit(""))), 256).alias("content_hash"))
-    return r.select("content_hash").distinct().join(r.where("doc_id % 3 = 0").select("content_hash"), "content_hash", "left_anti")
+    return sinks.embed_todo(r.withColumn("embed_text", F.lit("")), r.where("doc_id % 3 = 0")).select("content_hash")
 
 
 @query("SELECT lang, source, count(*) AS chunks, min(doc_id) AS first_id, max(n_chars) AS most FROM documents GROUP BY lang, source")
 def coverage_distinct(spark, d):
-    return _t(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("chunks"), F.min("doc_id").alias("first_id"), F.max("n_chars").alias("most"))
+    return sinks.coverage(_t(spark, d, "documents"), ["lang", "source"], F.min("doc_id").alias("first_id"), F.max("n_chars").alias("most"))
 
 
 _FOREIGN = "|".join(T.FOREIGN_ISSUERS)
