@@ -21,20 +21,22 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = stage_table(
         links.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges"
     )
-    before = None
+    state = lambda: tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+    before = state()
     for _ in range(max_rounds):
+        if not before[0]:
+            break
         both = edges.select("a", "b").unionByName(edges.select(b.alias("a"), a.alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), a).alias("m"), F.count("*").alias("n"))
-        large = heavy_join(both, low, ["a"], "n").where(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
-        large = stage_table(large, "large")
+        large = heavy_join(both, low, ["a"], "n", total=2 * before[0]).where(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         # after the large star a node's smaller neighbours are few: a hub points at many, few point at many hubs
         tight = large.join(low, "a").select(F.when(b == F.col("m"), a).otherwise(b).alias("a"), F.col("m").alias("b"))
         edges = stage_table(tight.where(a != b).distinct(), "edges")
-        row = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
-        if tuple(row) == before or not row[0]:
+        now = state()
+        if now == before:
             break
-        before = tuple(row)
+        before = now
     else:
         raise RuntimeError("components did not settle")
     return edges.select(a.alias("id"), b.alias("component")).unionByName(edges.select(b.alias("id"), b.alias("component")).distinct())
