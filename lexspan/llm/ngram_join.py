@@ -185,8 +185,9 @@ def _open_blocks(rows: DataFrame) -> DataFrame:
     component and the number of rows outside that.  rows is read twice."""
     each = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     blocks = each.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps"))
-    blocks = blocks.where("comps > 1").select("key", "size", F.col("most.comp").alias("main"), (F.col("size") - F.col("most.n")).alias("others"))
-    return heavy_join(rows, stage_table(blocks, "blocks"), ["key"], "size")
+    blocks = blocks.select("key", "size", "comps", F.col("most.comp").alias("main"), (F.col("size") - F.col("most.n")).alias("others"))
+    # closed blocks take part in the join, so that a hot one isn't dealt out either
+    return heavy_join(rows, stage_table(blocks, "blocks"), ["key"], "size").where("comps > 1").drop("comps")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
@@ -222,8 +223,9 @@ def _candidates(multi: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
 
 
 def _linked(docs: DataFrame, width: int, percent: int, tables: int) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, t1, t2 (the text's hash), n_shingles, component_id (null without shingles, or
-    where the id is null and no row with an id has an equal set); a row for each row."""
+    """docs (doc_id, text) -> doc_id, t1, t2 (the text's hash), n_shingles, comp (a number for each component), component_id (both null
+    without shingles, or where the id is null and no row with an id has an equal set); a row for each row.  Where one id has
+    several texts, several components may have one component_id."""
     t1, t2 = hash128("text")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stage_table(docs.select("doc_id", t1.alias("t1"), t2.alias("t2"), "text").mapInArrow(_signatures(width, tables), _SIGNATURE), "signatures")
@@ -250,7 +252,7 @@ def _linked(docs: DataFrame, width: int, percent: int, tables: int) -> DataFrame
 
     known = _labelled(nodes.select("node", "d1", "d2", "head"), labels, "node", "comp")
     least = known.groupBy("comp").agg(F.min("head").alias("component_id"))
-    placed = stage_table(known.join(least, "comp").select("d1", "d2", "component_id"), "placed")
+    placed = stage_table(known.join(least, "comp").select("d1", "d2", "comp", "component_id"), "placed")
     return signed.select("doc_id", "t1", "t2", "n_shingles", "d1", "d2").join(placed, ["d1", "d2"], "left").drop("d1", "d2")
 
 
@@ -276,9 +278,9 @@ def keep_one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 75, t
     come first as JSON.  Rows without shingles all stay, as do those of a null doc_id that equal no row with an id.
     Columns are passed through, whatever their names.  docs is read several times.  No rows: no rows.
     """
-    rows = stage_table(_linked(docs, width, percent, tables).where("component_id is not null"), "grouped")
+    rows = stage_table(_linked(docs, width, percent, tables).where("comp is not null"), "grouped")
     key = ["doc_id", "t1", "t2"]
-    best = rows.where("doc_id is not null").groupBy("component_id").agg(F.min(F.struct(*key)).alias("best")).select("best.*")
+    best = rows.where("doc_id is not null").groupBy("comp").agg(F.min(F.struct(*key)).alias("best")).select("best.*")
     counted = stage_table(rows.groupBy(*key).agg(F.count("*").alias("n")), "counted")
     gone = stage_table(counted.join(best, key, "left_anti").select(*key), "gone")
     again = stage_table(counted.where("n > 1").join(best, key, "left_semi").select(*key), "again")
