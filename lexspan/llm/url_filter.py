@@ -47,13 +47,13 @@ def sign_classes(url: Column) -> Column:
     return F.regexp_replace(s, r"[^a-z0/.?\-]", "*")
 
 
-def _grams(rows: DataFrame) -> DataFrame:
-    """A row for each sign of column signs, with the signs before it: column gram.  The string is cut into signs once, so
-    that the work is linear in its length."""
+def _grams(rows: DataFrame, *keep: str) -> DataFrame:
+    """A row for each sign of column signs, with the signs before it: column gram, and the columns in keep, which should be small.  The
+    string is cut into signs once and left behind, so that the work is linear in its length."""
     cut = F.transform(F.sequence(F.lit(1), F.length("signs")), lambda i: F.concat(*(F.get("_signs", i + k - 1) for k in range(ORDER + 1))))
     signs = F.array_remove(F.split(F.concat(F.lit("^" * ORDER), F.col("signs")), ""), "")
     rows = rows.where(F.length("signs") > 0).withColumn("_signs", signs)
-    return rows.withColumn("gram", F.explode(cut)).drop("_signs")
+    return rows.select(*keep, F.explode(cut).alias("gram"))
 
 
 def train_ratio(counts: DataFrame) -> DataFrame:
@@ -88,16 +88,17 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFram
     held = F.substring(F.md5(F.coalesce("url", F.lit(""))), 1, 1).isin(HELD_OUT)
 
     # One model row for each distinct gram of the table, with its count under either verdict.
-    trains = F.col("says").isNotNull() & ~held
-    per_gram = _grams(rows).groupBy("gram").agg(F.count_if(trains & (F.col("says") == "allow")).alias("allow"), F.count_if(trains & (F.col("says") == "block")).alias("block"))
+    trains = lambda verdict: (~held & F.col("says").eqNullSafe(F.lit(verdict))).alias(verdict)
+    per_gram = _grams(rows.select("signs", trains("allow"), trains("block")), "allow", "block").groupBy("gram").agg(F.count_if("allow").alias("allow"), F.count_if("block").alias("block"))
     per_gram = stage_table(per_gram, "grams")
     counts = per_gram.select("gram", F.expr("stack(2, 'allow', allow, 'block', block) as (says, n)"))
     model = F.broadcast(stage_table(train_ratio(counts), "model"))  # at most 33**3 * 32 rows
 
     # Equal sign strings have equal scores: score each once.
     need = rows.where(F.col("says").isNull() | held).groupBy("signs").agg(F.count("*").alias("times"))
-    scores = _grams(need).join(model, "gram").groupBy("signs", "times").agg((F.sum("ratio") / F.count("*")).alias("score"))
-    scores = stage_table(scores, "scores")
+    need = stage_table(need.withColumn("number", F.monotonically_increasing_id()), "need")
+    scores = _grams(need, "number").join(model, "gram").groupBy("number").agg((F.sum("ratio") / F.count("*")).alias("score"))
+    scores = stage_table(need.join(scores, "number").drop("number"), "scores")
     scored = heavy_join(rows.withColumn("held", held), scores, ["signs"], "times", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     scored = stage_table(scored.select("page_id", "host", "path", "rule", "says", "held", "score"), "scored")
 
