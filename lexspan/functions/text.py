@@ -23,7 +23,7 @@ DASHES = ["—", "–", "-", "−"]
 WORD_OR_SIGN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 TERM = "[a-z0-9]{3,}"
 NUMBER_IN_TEXT = r"(?<![\w.])\$?\(?\d[\d,]*(?:\.\d+)?\)?%?"
-NUMERIC_CELL = r"^(\(?-?\$?\d[\d,]*(\.\d+)?\)?%?\)?|\(?\d+(\.\d+)?\)?%)$"
+NUMERIC_CELL = r"^\(?-?\$?\d[\d,]*(\.\d+)?\)?%?\)?$|^\(?\d+(\.\d+)?\)?%$"
 DRAFT_EXPANSIONS = {
     "buy back": ["repurchase", "repurchased", "shares", "stock"],
     "fall": ["decreased", "decline", "declined", "lower"],

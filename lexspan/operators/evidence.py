@@ -92,3 +92,20 @@ def rebuilt_citations(gated: DataFrame) -> DataFrame:
     rows = rows.withColumn("n", F.row_number().over(first)).where("n = 1")
     names = [c for c in ("document_id", "chunk_id", "filing_period", "page", "section", "quote") if c in rows.columns]
     return rows.select("run_id", "at", *names)
+
+
+def draft_chain(providers: list, fallback):
+    """generate(question, hits) -> (draft, tokens): the first provider that doesn't raise answers, else the fallback, an extractive draft.
+    A question without hits gets an empty draft and asks no provider."""
+
+    def generate(question: str, hits: list):
+        if not hits:
+            return {"draft_answer": None, "claims": [], "citations": [], "next_search_query": None}, 0
+        for provider in providers:
+            try:
+                return provider(question, hits)
+            except Exception:
+                continue
+        return fallback(question, hits), 0
+
+    return generate

@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 
@@ -131,6 +132,7 @@ def vector_candidates(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATE
     ids, q = [r["question_id"] for r in rows], np.array([r["vector"] for r in rows], np.float64)
     q_norm = np.linalg.norm(q, axis=1) + 1e-9
     want = np.array([r[same] for r in rows], object) if same else None
+    kind = to_arrow_type(queries.schema["question_id"].dataType)
     kinds = dict(vectors.dtypes) | {"question_id": dict(queries.dtypes)["question_id"]}
 
     def run(batches):
@@ -152,7 +154,7 @@ def vector_candidates(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATE
                     at = at[:k]
                 qi.append(np.full(len(at), i)), vi.append(at)
             qi, vi = np.concatenate(qi), np.concatenate(vi)
-            cols = [pa.array([ids[i] for i in qi]), batch.column(0).take(pa.array(vi)), pa.array(sim[qi, vi])]
+            cols = [pa.array([ids[i] for i in qi], kind), batch.column(0).take(pa.array(vi)), pa.array(sim[qi, vi])]
             names = ["question_id", "id", "similarity"]
             if group:
                 cols.append(batch.column(2).take(pa.array(vi))), names.append("grp")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +14,42 @@ from ..functions import text as T
 CHUNK_TYPES = {"narrative": "prose", "table_summary": "table", "footnote": "note"}
 
 
-def replace_documents(records: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Replaces the partitions of the documents in records and no others."""
-    records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+BUCKETS = 64  # folders of a table; a document's rows all lie in one
+
+
+def replace_documents(records: DataFrame, path: str, key: str = "doc_id", documents: DataFrame | None = None, buckets: int = BUCKETS) -> None:
+    """Replaces the rows of some documents and of no others, in a table of buckets folders by hash of the key.
+
+    documents (a column named as key): those to replace; one that has no row in records is removed.  Without it, those in records.  Only folders
+    that hold such a document are rewritten, by one dynamic overwrite; the rows of other documents in them are carried over.
+    The rows to write are put beside the table first, since a job can't overwrite what it reads.
+    """
+    spark = records.sparkSession
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+    gone = (records if documents is None else documents.select(key).unionByName(records.select(key))).select(key).distinct()
+    rows = records.withColumn("_bucket", bucket)
+    table = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = table.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(table) and any(f.isDirectory() and f.getPath().getName().startswith("_bucket=") for f in files.listStatus(table)):
+        old = spark.read.parquet(path)
+        touched = [r[0] for r in gone.select(bucket.alias("b")).distinct().collect()]  # at most buckets rows
+        kept = old.where(F.col("_bucket").isin(touched)).join(gone, key, "left_anti").select(*old.columns)
+        aside = f"{path.rstrip('/')}__next"
+        rows.unionByName(kept, allowMissingColumns=True).write.mode("overwrite").parquet(aside)
+        rows = spark.read.parquet(aside)
+        empty = sorted(set(touched) - {r[0] for r in rows.select("_bucket").distinct().collect()})
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+        for b in [spark._jvm.org.apache.hadoop.fs.Path(path, f"_bucket={b}") for b in empty]:  # folders that lost all rows
+            files.delete(b, True)
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(aside), True)
+        return
+    rows.write.mode("append").partitionBy("_bucket").parquet(path)
+
+
+def write_allowlist(manifest: DataFrame, path: str) -> None:
+    """The allowlist as one JSON document, sorted by document id; its size is that of a manifest, a row for each filing."""
+    rows = F.array_sort(F.collect_list(F.struct("document_id", *(c for c in manifest.columns if c != "document_id"))))
+    manifest.agg(F.to_json(F.struct(rows.alias("documents"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_artifacts(tables: dict[str, DataFrame], path: str) -> None:
@@ -24,7 +59,7 @@ def write_artifacts(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
-    vectors.select("doc_id", "id", "content_hash", "embedding").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
+    replace_documents(vectors.select("doc_id", "id", "content_hash", "embedding"), path)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -60,6 +95,35 @@ def embed_incremental(records: DataFrame, cache: DataFrame, embed: Callable) ->
     return out, counts
 
 
+def batch_embedder(call: Callable[[list[str]], list[list[float]]], batch: int = 64, tries: int = 6, longest_wait: float = 30.0, fatal: tuple = (), sleep: Callable[[float], None] = time.sleep):
+    """An embed function for embed_incremental from call(texts) -> vectors in the same order, a remote service or a local model.
+
+    Texts go in batches; a call that fails is tried again after 1, 2, 4, ... seconds, at most longest_wait, tries times in all; errors in
+    fatal aren't tried again.  A model that call loads is loaded once for each Python worker.
+    """
+
+    def attempt(texts: list[str]) -> list[list[float]]:
+        for turn in range(tries):
+            try:
+                return call(texts)
+            except fatal:
+                raise
+            except Exception:
+                if turn == tries - 1:
+                    raise
+                sleep(min(2.0**turn, longest_wait))
+        return []
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            texts = part.tolist()
+            made = [v for at in range(0, len(texts), batch) for v in attempt(texts[at : at + batch])]
+            yield pd.Series(made, index=part.index)
+
+    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<float>")
+
+
 def hash_embedder(dims: int = 16):
     """A test double: a unit vector from a text's digest, without a Python worker."""
 

@@ -13,7 +13,7 @@ from .queries import _LEX_SQL, _READY_SQL, _STOP, _corpus, _questions, _query_ve
 # ---- cells and labels of text
 
 
-@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_linenumber % 6 AS form, CAST(l_quantity AS INT) AS q, CAST(l_suppkey + 1 AS INT) AS s FROM lineitem)
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_linenumber % 6 AS form, CAST(l_quantity AS INT) AS q, CAST(l_suppkey AS INT) AS s FROM lineitem)
 SELECT l_orderkey, l_linenumber, form < 5 AS is_number_cell, CASE form WHEN 0 THEN q * 1000.0::DOUBLE + 7 WHEN 1 THEN -(q + 0.5::DOUBLE) WHEN 2 THEN q::DOUBLE WHEN 4 THEN s::DOUBLE END AS value,
   CASE form WHEN 0 THEN CAST(q * 1000 + 7 AS VARCHAR) WHEN 1 THEN q || '.5' WHEN 2 THEN CAST(q AS VARCHAR) WHEN 4 THEN CAST(s AS VARCHAR) END AS plain FROM c""")
 def numeric_cells(spark, d):

@@ -61,11 +61,11 @@ def manifest_errors(rows: DataFrame, files: DataFrame | None = None) -> DataFram
 
 
 def load_manifest(spark: SparkSession, path: str, files: DataFrame | None = None) -> DataFrame:
-    """Typed manifest; raises one error that lists everything wrong (at most 1000 lines of it)."""
+    """Typed manifest; raises one error that lists everything wrong.  A manifest has a row for each filing; its errors are text for a person."""
     rows = read_manifest_rows(spark, path)
-    wrong = manifest_errors(rows, files).orderBy("doc_id", "error").limit(1000).collect()
+    wrong = manifest_errors(rows, files).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "doc_id", "error"))), "; ")).first()[0]
     if wrong:
-        raise ValueError("manifest: " + "; ".join(f"{r['doc_id']}: {r['error']}" for r in wrong))
+        raise ValueError(f"manifest: {wrong}")
     return type_manifest(rows)
 
 
@@ -151,6 +151,15 @@ class Settings:
     trivial_item_tokens: int = 15
     embedding_model: str = "hash-16"
 
+    @classmethod
+    def from_file(cls, path: str, env: dict[str, str] | None = None) -> Settings:
+        """Settings of a file of ``name: value`` lines (flat YAML; # begins a comment); the environment wins."""
+        with open(path, encoding="utf-8") as file:
+            pairs = (line.split("#")[0].partition(":") for line in file)
+            given = {k.strip(): v.strip().strip("'\"") for k, colon, v in pairs if colon and k.strip()}
+        known = {f"LEXSPAN_{f.name.upper()}": given[f.name] for f in fields(cls) if f.name in given}
+        return cls.from_env(known | (dict(os.environ) if env is None else env))
+
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None) -> Settings:
         env = dict(os.environ) if env is None else env
