@@ -113,6 +113,18 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(read_table(spark, sf_dir, "documents"), 24)
 
 
+OP4_SQL = """
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+rows AS (SELECT doc_id, text, CAST(coalesce(strlen(text), 0) + 8 AS BIGINT) AS size, coalesce(md5(text), '') AS g FROM documents),
+bytes AS (SELECT text, hex(encode(text)) AS h FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
+crc AS (SELECT text, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS c FROM bytes, tab),
+placed AS (SELECT *, sum(size) OVER () AS total, sum(size) OVER (PARTITION BY g) AS own, sum(size) OVER (ORDER BY g, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (ORDER BY g, doc_id NULLS FIRST) AS rank FROM rows),
+cut AS (SELECT *, CASE WHEN own * 2400 > total THEN 2 * upto - size ELSE min(upto - size) OVER (PARTITION BY g) + max(upto) OVER (PARTITION BY g) END AS twice FROM placed),
+sharded AS (SELECT *, CAST(least(23, twice * 24 // (2 * total)) AS INTEGER) AS shard FROM cut)
+SELECT doc_id, size, CAST(coalesce(c, 0) AS BIGINT) AS text_crc32, 'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY rank) - 1 AS BIGINT) AS slot, NULL::INTEGER AS grown_shard FROM sharded LEFT JOIN crc USING (text)
+"""
+
+
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"), 0.93)
 
@@ -191,6 +203,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard": OP1_SQL,
     "op3_url_filter": _op3_sql(),
+    "op4_sharding": OP4_SQL,
     "op5_vector_dedup": OP5_SQL,
     "op8_topk": OP8_SQL,
     "op9_line_dedup": OP9_SQL,

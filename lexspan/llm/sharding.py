@@ -1,6 +1,6 @@
 """Operator 4: contiguous shards of near equal bytes by global prefix sums.  DataFrame functions only.
 
-Rows are range-partitioned by (text hash, order key); each partition's totals are summed on their own, the totals'
+Rows are range-partitioned by (MD5 of the text, doc_id); each partition's totals are summed on their own, the totals'
 prefix sums give each partition its offset, and a row's place is that offset plus its running sum inside
 the partition.  No task ever orders more than its partition.
 Equal texts are neighbours.  A group of equal texts of at most 1 / ``whole`` of a shard's target goes to one shard as a whole;
@@ -21,7 +21,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, whole: int = 100) -> DataF
     """docs (doc_id, text, ...) -> doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size: UTF-8 bytes of the text plus 8; shard i takes the rows whose midpoint, in bytes before them in
-    the global order, lies in the i-th of equal parts.  slot numbers a shard's rows from 0 without gaps.
+    the global order (by MD5 of the text, then doc_id, nulls first), lies in the i-th of equal parts.  slot numbers a shard's rows from 0
+    without gaps, in that order.
     law is 'bytes', grown_shard null.  A null text counts as empty (crc32 0) but isn't equal to an empty
     one.  Repeated and null doc_ids keep a row each.  Other columns aren't read.  No rows: no rows.
     """
@@ -29,7 +30,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, whole: int = 100) -> DataF
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + EXTRA).cast("long").alias("size"),
         F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"),
-        F.xxhash64("text", F.col("text").isNull()).alias("group"),
+        F.coalesce(F.md5("text"), F.lit("")).alias("group"),
     )
     rows = stage_table(rows, "rows")
     groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"))
@@ -37,7 +38,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, whole: int = 100) -> DataF
     # at most shards * whole rows: each holds more than 1 / (shards * whole) of all bytes
     large = groups.where(F.col("bytes") * (shards * whole) > total.scalar()).select("group", F.lit(True).alias("large"))
     rows = rows.join(F.broadcast(large), "group", "left").withColumn("large", F.coalesce("large", F.lit(False)))
-    rows = rows.withColumn("run", F.when(F.col("large"), F.xxhash64("doc_id")).otherwise(0))
+    rows = rows.withColumn("run", F.when(F.col("large"), F.col("doc_id")).otherwise(0))
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = stage_table(rows.repartitionByRange(n, "group", "run").withColumn("part", F.spark_partition_id()), "parts")
