@@ -443,7 +443,10 @@ def registry_upsert(spark, d):
     return sinks.upsert(old, last.select("c_custkey", F.concat(F.lit("o"), F.col("k").cast("string")).alias("name"), F.lit(None).cast("double").alias("balance")), ["c_custkey"], keep=["balance"])
 
 
-@query()
+@query(r"""WITH m AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:^|[^\w.])(\$?\(?\d[\d,]*(?:\.\d+)?\)?%?)', 1) AS found FROM documents),
+v AS (SELECT doc_id, list_transform(found, lambda x: regexp_replace(x, '[$(),%]', '', 'g')) AS n FROM m),
+w AS (SELECT doc_id, list_transform(n, lambda x: regexp_replace(regexp_replace(printf('%.2f', CAST(x AS DOUBLE)), '0+$', ''), '\.$', '')) AS n FROM v)
+SELECT doc_id, array_to_string(list_sort(list_distinct(n)), ' ') AS numbers FROM w""")
 def numbers_of_texts(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.array_join(T.numbers_in_text("text"), " ").alias("numbers"))
 
@@ -457,7 +460,11 @@ def packed_chunks(spark, d):
     return shape.chunk_blocks(b).select("doc_id", "chunk_id", "content_type", "char_start", "char_end", "parent_id", "n_tokens")
 
 
-@query()
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(html, '<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'gsi') AS t FROM pages WHERE html IS NOT NULL),
+b AS (SELECT page_id, regexp_replace(regexp_replace(t, '<(/?(p|div|br|li|tr|h[1-6]|ul|ol|table|title|nav|footer|header|article|section)\b)[^>]*>', chr(10), 'gi'), '<[^>]*>', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM b),
+l AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM c)
+SELECT page_id, CAST(unnest(range(len(l))) AS INTEGER) AS line_no, unnest(l) AS line FROM l""")
 def page_text_lines(spark, d):
     return readers.page_lines(_t(spark, d, "pages"))
 
