@@ -113,10 +113,30 @@ def test_parse_and_chunk(spark):
     assert all(text[c["char_start"] : c["char_end"]] == c["raw_text"] for c in chunks)
 
 
-def test_packing_limits():
-    limits = shape.ChunkLimits(maximum=10, target=8, overlap=0)
-    packs = shape.pack_pieces([(i, i + 1, 4) for i in range(5)], limits, lambda p: None)
-    assert [len(p) for p in packs] == [2, 2, 1]
+def test_packing_limits(spark):
+    piece = "array<struct<begin:int,stop:int,n:int,back:int,back_n:int,page_start:int,page_end:int>>"
+    packs = lambda limits, *own: [tuple(p) for p in spark.createDataFrame([(list(own),)], f"pieces {piece}").select(shape.pack_pieces("pieces", limits).alias("p")).first()["p"]]
+    plain = shape.ChunkLimits(maximum=10, target=8, overlap=0)
+    assert packs(plain, *((i, i + 1, 4, None, None, i, i) for i in range(5))) == [(0, 2, 0, 1), (2, 4, 2, 3), (4, 5, 4, 4)]
+    # the next pack begins at the last piece's back, and has its tokens and pages
+    assert packs(shape.ChunkLimits(maximum=10, target=9), (0, 50, 9, 40, 2, 1, 2), (52, 90, 7, 80, 2, 3, 3), (92, 95, 1, None, None, 4, 4)) == [(0, 50, 1, 2), (40, 90, 1, 3), (80, 95, 3, 4)]
+    assert packs(plain) == []
+
+
+def test_chunks_of_sections(spark):
+    """Small sections join their kin, a table is a wall and a chunk, a footnote knows the table before it, overlap is whole sentences."""
+    path = ["Part I", "Item 1."]
+    long = " ".join(f"Sentence number {i} has six words." for i in range(140))
+    own = [("heading", "Item 1.", path), ("paragraph", "Short intro here.", path), ("paragraph", "Alpha text.", [*path, "Alpha"]), ("paragraph", "Beta text.", [*path, "Beta"]), ("table", "T | 1", [*path, "Beta"]), ("footnote", "(1) a note to it", [*path, "Beta"]), ("paragraph", long, [*path, "Beta"])]
+    b = spark.createDataFrame([("d", i, k, t, p, "I1", 1, 1, None, False, "d-T001" if k == "table" else None) for i, (k, t, p) in enumerate(own)], "doc_id string, block_seq int, kind string, block_text string, section_path array<string>, item_code string, page_start int, page_end int, skip_reason string, is_caption boolean, table_id string")
+    b = shape.block_offsets(b.withColumn("n_tokens", F.length(F.regexp_replace("block_text", r"[^ .]", ""))))
+    chunks = shape.chunk_blocks(b, shape.ChunkLimits(minimum=10, target=100, maximum=200, overlap=20)).orderBy("char_start", "chunk_id").collect()
+    text = shape.clean_text(b).first()["clean_text"]
+    assert all(text[c["char_start"] : c["char_end"]] == c["raw_text"] for c in chunks)
+    assert chunks[0]["raw_text"].startswith("Short intro") and chunks[0]["raw_text"].endswith("Beta text.") and chunks[0]["section_path"] == path
+    assert [(c["content_type"], c["table_id"]) for c in chunks[1:3]] == [("table_summary", "d-T001"), ("footnote", "d-T001")]
+    prose = chunks[3:]
+    assert len(prose) > 3 and all(a["char_end"] > b["char_start"] and text[b["char_start"] :].startswith("Sentence") for a, b in zip(prose, prose[1:]))
 
 
 def test_incremental_embed_is_idempotent(spark):
