@@ -196,13 +196,13 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> Dat
     return rows.join(own, column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def _candidates(multi: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, tables: int, spanning: bool) -> DataFrame:
+def _candidates(multi: DataFrame, points: DataFrame, labels: DataFrame, percent: int, tables: int, spanning: bool) -> DataFrame:
     """Rows (base, a, b): pairs of nodes in different components that meet in a block, base, and that the R-tree can't rule
     out; with spanning, only those that connect the components of a cell.  A pair belongs to one cell of one block."""
     rows = stage_table(_labelled(multi.select("key", "node"), labels, "node", "comp"), "labelled")
     rows = stage_table(_open_blocks(rows), "open")
     # A block of one frequent shingle, in many documents that are no copies: its rows meet again under each of the other orders.
-    lows = nodes.select("node", "lows")
+    lows = points.select("node", "lows")
     hot = rows.where(F.col("others") > HOT_BLOCK)
     rows = rows.where(F.col("others") <= HOT_BLOCK).withColumns({"base": F.col("key"), "low": F.lit(None).cast("long")})
     if not hot.isEmpty():
@@ -218,7 +218,7 @@ def _candidates(multi: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
     i = F.when(F.col("few"), F.col("t")).otherwise(F.least("slot", "t"))
     j = F.when(F.col("few"), F.lit(-1)).otherwise(F.greatest("slot", "t"))
     rows = stage_table(rows.select("key", i.alias("i"), j.alias("j"), "slot", "node", "comp", "base", "low"), "cells")
-    dealt = rows.join(nodes.select("node", "lows", "point"), "node").select(*_CELL).repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
+    dealt = rows.join(points, "node").select(*_CELL).repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(_searcher(percent, spanning, tables), "base long, a long, b long")
 
 
@@ -228,9 +228,13 @@ def _linked(docs: DataFrame, width: int, percent: int, tables: int) -> DataFrame
     several texts, several components may have one component_id."""
     t1, t2 = hash128("text")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stage_table(docs.select("doc_id", t1.alias("t1"), t2.alias("t2"), "text").mapInArrow(_signatures(width, tables), _SIGNATURE), "signatures")
-    nodes = signed.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("head"), F.first("lows").alias("lows"), F.first("point").alias("point"))
-    nodes = stage_table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    signed = docs.select("doc_id", t1.alias("t1"), t2.alias("t2"), "text").mapInArrow(_signatures(width, tables), _SIGNATURE)
+    signed = stage_table(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
+    # A node is known by the number of one of its rows; points stay with the rows until a search asks for them.
+    heads = signed.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("m"))
+    heads = heads.select("d1", "d2", F.col("m.doc_id").alias("head"), F.col("m.row").alias("node"))
+    points = signed.select(F.col("row").alias("node"), "lows", "point")
+    nodes = stage_table(heads.join(points.select("node", "lows"), "node"), "nodes")
 
     entries = nodes.select("node", F.explode("lows").alias("key"))
     blocks = stage_table(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "blocks")
@@ -240,7 +244,7 @@ def _linked(docs: DataFrame, width: int, percent: int, tables: int) -> DataFrame
 
     labels = connected_components(links)
     for spanning in (True, False):
-        pairs = stage_table(_candidates(multi, nodes, labels, percent, tables, spanning), "pairs")
+        pairs = stage_table(_candidates(multi, points, labels, percent, tables, spanning), "pairs")
         if pairs.isEmpty():
             break
         found = stage_table(_verify(docs, nodes, pairs.select("a", "b").distinct(), width, percent), "found")
