@@ -224,11 +224,13 @@ def train_language_model(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Lan
     rows = drawn.mapInArrow(_featurise, "lang string, by long, seed long, made boolean, grams long, buckets binary, shares binary")
     first = Window.partitionBy("lang", "made").orderBy("by", "seed")
     rows = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= quota)
-    rows = sorted((r["lang"], r["made"], r["by"], r["seed"], r["grams"], bytes(r["buckets"]), bytes(r["shares"])) for r in rows.collect())
-    if not rows:
+    table = rows.select("lang", "made", "by", "seed", "grams", "buckets", "shares").toArrow()  # at most 2 * sample_rows rows
+    if not len(table):
         return None
-    labels = [None if r[1] else r[0] for r in rows]
-    return fit(Sample([r[5] for r in rows], [r[6] for r in rows]), labels, np.array([r[4] for r in rows], float))
+    table = table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("lang", "made", "by", "seed")]))
+    labels = [None if made else lang for lang, made in zip(table["lang"].to_pylist(), table["made"].to_pylist())]
+    sample = Sample(table["buckets"].to_pylist(), table["shares"].to_pylist())
+    return fit(sample, labels, table["grams"].to_numpy().astype(float))
 
 
 def _predict(model: LanguageModel | None):

@@ -294,7 +294,8 @@ def keep_one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 75, t
         return F.col("doc_id").cast("long").eqNullSafe(facts["_id"]) & (t1 == facts["_1"]) & (t2 == facts["_2"])
 
     gone, again = (x.select(F.col("doc_id").alias("_id"), F.col("t1").alias("_1"), F.col("t2").alias("_2")) for x in (gone, again))
-    kept = docs.join(gone, same(gone), "left_anti")
+    few = gone.count() <= BROADCAST_ROWS
+    kept = docs.join(F.broadcast(gone) if few else gone, same(gone), "left_anti")
     if again.isEmpty():
         return kept
     others = F.to_json(F.struct(*(F.col(c) for c in docs.columns if c != "text")))
