@@ -65,9 +65,10 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     t1, t2 = hash128("text")
     joined = docs.join(cuts, F.col("doc_id").cast("long").eqNullSafe(F.col(own[0])) & (t1 == F.col(own[1])) & (t2 == F.col(own[2])), "left")
     cut, parts = F.col(own[3]), F.split("text", "\n")
-    # array_except looks positions up in a hash set and keeps their order
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), cut)
-    kept = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
+    # array_except looks positions up in a hash set and keeps their order; the outer transform, over one array, holds the
+    # lines so that they aren't split off anew for each position
+    left = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), cut)
+    kept = F.get(F.transform(F.array(parts), lambda p: F.array_join(F.transform(left(p), lambda i: F.get(p, i)), "\n")), F.lit(0))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))
     n_removed = F.when(cut.isNull(), 0).otherwise(F.size(cut))
     text = F.when(cut.isNull(), F.col("text")).otherwise(kept)

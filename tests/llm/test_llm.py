@@ -583,7 +583,7 @@ def test_pipeline_language_stage_drops_foreign_documents(spark):
 
     rng = random.Random(3)
     source = P.read_table(spark, SF, "documents")
-    junk = [(10_000_000 + i, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(80)), "en", "src0", 1) for i in range(20)]
+    junk = [(10_000_000 + i, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(80)), None, "src0", 1) for i in range(20)]
     given = source.unionByName(spark.createDataFrame(junk, source.schema))
     kept = P.language_id(spark, given, SF)
     ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
