@@ -122,16 +122,25 @@ class LanguageModel:
 
 
 class Sample:
-    """Sparse feature vectors of labelled rows; only the rows of a batch are made dense."""
+    """Sparse feature vectors of labelled rows, as views of two Arrow columns; only the rows of a batch are made dense."""
 
-    def __init__(self, buckets: list[bytes], shares: list[bytes]):
-        self.buckets = [np.frombuffer(b, np.uint16) for b in buckets]
-        self.shares = [np.frombuffer(b, np.float32) for b in shares]
+    def __init__(self, buckets, shares):
+        self.ends, self.buckets = self._flat(buckets, np.uint16)
+        _, self.shares = self._flat(shares, np.float32)
+
+    @staticmethod
+    def _flat(col, kind):
+        col = col.combine_chunks()
+        col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
+        offsets = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, col.offset * 4)
+        size = np.dtype(kind).itemsize
+        return offsets // size, np.frombuffer(col.buffers()[2], np.uint8)[: offsets[-1]].view(kind)
 
     def dense(self, rows) -> np.ndarray:
         x = np.zeros((len(rows), BUCKETS), np.float32)
         for i, row in enumerate(rows):
-            x[i, self.buckets[row]] = self.shares[row]
+            own = slice(self.ends[row], self.ends[row + 1])
+            x[i, self.buckets[own]] = self.shares[own]
         return x
 
 
@@ -229,8 +238,12 @@ def train_language_model(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Lan
         return None
     table = table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("lang", "made", "by", "seed")]))
     labels = [None if made else lang for lang, made in zip(table["lang"].to_pylist(), table["made"].to_pylist())]
-    sample = Sample(table["buckets"].to_pylist(), table["shares"].to_pylist())
-    return fit(sample, labels, table["grams"].to_numpy().astype(float))
+    sample, grams = Sample(table["buckets"], table["shares"]), table["grams"].to_numpy().astype(float)
+    del table
+    model = fit(sample, labels, grams)
+    del sample
+    pa.default_memory_pool().release_unused()  # the driver goes on to other stages
+    return model
 
 
 def _predict(model: LanguageModel | None):
