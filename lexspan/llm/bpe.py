@@ -256,7 +256,7 @@ def bpe_lengths(docs: DataFrame, ranks_path: str) -> DataFrame:
         for batch in batches:
             offsets, data, _ = utf8_column(batch.column(1))
             found = [np.zeros(0, np.int64)]
-            for a, b in row_windows(offsets, CHUNK):
+            for a, b in row_windows(offsets, CHUNK // 4):
                 text, _, starts, ends, hashes, per_row = cut_texts(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
                 _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
                 if len(known) > KNOWN:
