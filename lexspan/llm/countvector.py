@@ -12,7 +12,9 @@ import numpy as np
 LEAF = 16
 COARSE = 64  # groups of the points that the boxes hold
 SPREAD = 64  # groups for each shingle, at least
+LEAF_PAIRS = 64  # pairs of leaves whose points are compared at a time: LEAF * LEAF rows of COARSE counts for each
 _DENSE = 1 << 22  # groups up to which counts are looked up in a table
+_AT_ONCE = 1 << 20  # groups of other points that are compared with a point's at a time, about
 
 
 def point_of(values: np.ndarray) -> tuple[int, np.ndarray]:
@@ -98,33 +100,44 @@ class CountVectorTree:
             a, b = a[keep], b[keep]
             if not len(a):
                 continue
-            below = len(self.levels[level - 1][0]) if level else len(self.order)
-            x = (a[:, None] * LEAF + np.arange(LEAF)).clip(max=below)  # below marks what isn't there
-            y = (b[:, None] * LEAF + np.arange(LEAF)).clip(max=below)
-            x, y = np.broadcast_to(x[:, :, None], (len(a), LEAF, LEAF)).ravel(), np.broadcast_to(y[:, None, :], (len(a), LEAF, LEAF)).ravel()
-            ok = (x < below) & (y < below) & ((x < y) if level == 0 else (x <= y))
-            x, y = x[ok], y[ok]
-            if level:
-                stack.append((level - 1, x, y))
+            if level == 0:
+                for k in range(0, len(a), LEAF_PAIRS):
+                    i, j = self._leaf_pairs(a[k : k + LEAF_PAIRS], b[k : k + LEAF_PAIRS], percent)
+                    if wanted is not None and len(i):
+                        ok = wanted(i, j)
+                        i, j = i[ok], j[ok]
+                    if len(i):
+                        yield i.astype(np.int32), j.astype(np.int32)
                 continue
-            i, j = self.order[x], self.order[y]
-            i, j = np.minimum(i, j), np.maximum(i, j)
-            n, m = self.size[i], self.size[j]
-            ok = (100 * n >= percent * m) & (100 * m >= percent * n)
-            i, j, n, m = i[ok], j[ok], n[ok], m[ok]
-            ok = may_reach(np.minimum(self.coarse[i], self.coarse[j]).sum(1), n, m, percent)
-            i, j = i[ok], j[ok]
-            if wanted is not None and len(i):
-                ok = wanted(i, j)
-                i, j = i[ok], j[ok]
-            if len(i):
-                yield i, j
+            x, y = self._below(a, b, len(self.levels[level - 1][0]))
+            ok = x <= y
+            stack.append((level - 1, x[ok], y[ok]))
+
+    @staticmethod
+    def _below(a: np.ndarray, b: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of what lies below the nodes a and b, of below in all."""
+        x = (a[:, None] * LEAF + np.arange(LEAF)).clip(max=below)  # below marks what isn't there
+        y = (b[:, None] * LEAF + np.arange(LEAF)).clip(max=below)
+        x, y = np.broadcast_to(x[:, :, None], (len(a), LEAF, LEAF)).ravel(), np.broadcast_to(y[:, None, :], (len(a), LEAF, LEAF)).ravel()
+        ok = (x < below) & (y < below)
+        return x[ok], y[ok]
+
+    def _leaf_pairs(self, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs i < j of points of the leaves a and b that sizes and counts of COARSE groups leave."""
+        x, y = self._below(a, b, len(self.order))
+        ok = x < y
+        i, j = self.order[x[ok]], self.order[y[ok]]
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        n, m = self.size[i], self.size[j]
+        ok = (100 * n >= percent * m) & (100 * m >= percent * n)
+        i, j, n, m = i[ok], j[ok], n[ok], m[ok]
+        ok = may_reach(np.minimum(self.coarse[i], self.coarse[j]).sum(1), n, m, percent)
+        return i[ok], j[ok]
 
     def overlap_bounds(self, i: int, others: np.ndarray) -> np.ndarray:
         """Sum over all groups of the smaller count, of point i with each of others."""
         out = np.zeros(len(others), np.int64)
-        for bits in np.unique(self.bits[others]).tolist():
-            at = np.flatnonzero(self.bits[others] == bits)
+        for bits, at in self._portions(others):
             common = min(bits, int(self.bits[i]))
             own = self.groups[i] >> (self.bits[i] - common)
             parts = [self.groups[j] for j in others[at].tolist()]
@@ -145,6 +158,14 @@ class CountVectorTree:
             out[at] = np.add.reduceat((before < count).astype(np.int64), np.concatenate([[0], ends[:-1]]))
         return out
 
+    def _portions(self, others: np.ndarray):
+        """Yields (bits, positions in others of points of that resolution) with about _AT_ONCE groups in all."""
+        for bits in np.unique(self.bits[others]).tolist():
+            at = np.flatnonzero(self.bits[others] == bits)
+            upto = np.cumsum(self.size[others[at]])
+            for part in np.split(at, np.flatnonzero(np.diff(upto // _AT_ONCE)) + 1):
+                yield bits, part
+
     def survivors(self, percent: int, comp: np.ndarray, wanted=None, spanning: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (i, j) of different components whose overlap bound reaches percent.
 
@@ -156,9 +177,12 @@ class CountVectorTree:
         if not found:
             return none, none
         i, j = (np.concatenate(x) for x in zip(*found))
+        del found
         source, target = np.concatenate([i, j]), np.concatenate([j, i])
-        order = np.argsort(source, kind="stable")
-        target, per = target[order], np.bincount(source, minlength=len(self.size))
+        del i, j
+        per = np.bincount(source, minlength=len(self.size))
+        target = target[np.argsort(source, kind="stable")]
+        del source
         ends = np.cumsum(per)
         comp, done, out = comp.copy(), np.zeros(len(self.size), bool), []
         for u in np.argsort(-per, kind="stable").tolist():

@@ -589,3 +589,23 @@ def test_pipeline_language_stage_drops_foreign_documents(spark):
     ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
     letters = {r["doc_id"] for r in source.where(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
     assert kept.columns == source.columns and ids == letters
+
+
+def test_tree_compares_leaves_in_small_portions(monkeypatch):
+    import tracemalloc
+
+    from lexspan.llm import countvector
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**64, 100 + k % 9, dtype=np.uint64)) for k in range(1500)]
+    sets += [np.append(v[:-3], np.uint64(2**64 - 1)) for v in sets[:50]]
+    tree = CountVectorTree([point_of(v) for v in sets])
+    tracemalloc.start()
+    x, y = tree.survivors(75, np.arange(len(sets)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    assert {(k, 1500 + k) for k in range(50)} <= {(min(p), max(p)) for p in zip(x.tolist(), y.tolist())}
+    bounds = tree.overlap_bounds(0, np.arange(1, len(sets)))
+    monkeypatch.setattr(countvector, "_AT_ONCE", 1000)
+    assert (tree.overlap_bounds(0, np.arange(1, len(sets))) == bounds).all()
