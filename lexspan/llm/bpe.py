@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import row_windows, utf8_column
+from .common import row_windows, tidy, utf8_column
 
 CHUNK = 8 << 20  # bytes of text in a chunk
+WINDOW = CHUNK // 16  # bytes of text whose lengths are counted at a time
+REMEMBERED = 256  # signs of a word that a task remembers by its hash, at most
 KNOWN = 400_000  # encoded words that a task remembers at most; what it forgets it encodes again
 PATTERN = K.PATTERN
 
@@ -67,10 +69,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def cut_texts(offsets: np.ndarray, data: np.ndarray):
     """(text of all rows, code points, starts, ends, hash of each pre-token, pre-tokens per row)."""
     text = data.tobytes().decode("utf-8", "replace")
-    cp = K.code_points(text)
-    # a row's first code point: code points before its first byte
-    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    rows = lead[offsets]
+    if text.isascii():
+        cp, rows = data, offsets
+    else:
+        cp = K.code_points(text)
+        # a row's first code point: code points before its first byte
+        lead = np.cumsum((data & 0xC0) != 0x80, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+        rows = np.where(offsets > 0, lead[np.maximum(offsets, 1) - 1], 0).astype(np.int64)
     starts = K.pretoken_starts(cp, np.unique(rows[:-1][np.diff(rows) > 0]))
     ends = np.append(starts[1:], len(cp))[: len(starts)]
     return text, cp, starts, ends, K.span_hashes(cp, starts, ends, 0x110000), np.diff(np.searchsorted(starts, rows))
@@ -245,34 +250,42 @@ def _encode(docs: DataFrame, ranks_path: str, finish, schema: str) -> DataFrame:
     return deal_words(docs, _encode_words(ranks_path), finish, schema)
 
 
-def bpe_lengths(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, n_tokens: numbers of tokens only, without a shuffle; a row for each row.
-
-    A chunk's distinct words are encoded once.  A null or empty text has 0 tokens.  No rows: no rows.
-    """
+def _lengths(path: str):
+    """(doc_id, text) -> doc_id, n_tokens.  A task remembers words by their 64-bit hashes, as a window does: 12 bytes for each."""
 
     def run(batches):
-        encode, known = _encoder(ranks_path), {}
+        encode = _encoder(path)
+        known, sizes = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # ascending hashes, tokens of each
         for batch in batches:
             offsets, data, _ = utf8_column(batch.column(1))
             found = [np.zeros(0, np.int64)]
-            for a, b in row_windows(offsets, CHUNK // 4):
+            for a, b in row_windows(offsets, WINDOW):
                 text, _, starts, ends, hashes, per_row = cut_texts(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
-                _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+                words, first, which = np.unique(hashes, return_index=True, return_inverse=True)
                 if len(known) > KNOWN:
-                    known.clear()
-                size = np.empty(len(first), np.int64)
-                for i, (x, y) in enumerate(zip(starts[first].tolist(), ends[first].tolist())):
-                    word = text[x:y]
-                    n = known.get(word)
-                    if n is None:
-                        n = known[word] = len(encode(word.encode()))
-                    size[i] = n
+                    known, sizes = known[:0], sizes[:0]
+                at = np.searchsorted(known, words)
+                seen = np.zeros(len(words), bool)
+                seen[at < len(known)] = known[at[at < len(known)]] == words[at < len(known)]
+                size = np.empty(len(words), np.int64)
+                size[seen] = sizes[at[seen]]
+                s, e = starts[first[~seen]], ends[first[~seen]]
+                size[~seen] = [len(encode(text[x:y].encode())) for x, y in zip(s.tolist(), e.tolist())]
+                keep = np.flatnonzero(~seen)[e - s <= REMEMBERED]
+                known, sizes = np.insert(known, at[keep], words[keep]), np.insert(sizes, at[keep], size[keep])
                 upto = np.concatenate([[0], np.cumsum(size[which])])
                 found.append(np.diff(upto[np.concatenate([[0], np.cumsum(per_row)])]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found))], names=["doc_id", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long")
+    return run
+
+
+def bpe_lengths(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, n_tokens: numbers of tokens only, without a shuffle; a row for each row.
+
+    A task encodes a distinct word once, as long as it remembers it.  A null or empty text has 0 tokens.  No rows: no rows.
+    """
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_lengths(ranks_path)), "doc_id long, n_tokens long")
 
 
 @lru_cache(maxsize=2)

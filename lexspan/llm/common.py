@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -49,13 +51,55 @@ def _remove_written() -> None:
 atexit.register(_remove_written)
 
 
+BATCH_BYTES = 4 << 20  # of an Arrow batch for a Python worker, about; Spark's own limit is 64 MB
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Within it Spark hands rows to Python workers in batches of about BATCH_BYTES: a batch is held by the executor, outside its heap,
+    and by the worker, whose kernels take windows of a few MB anyway.  The session's own limit holds where it is lower, and after."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key)
+    lower = str(own).isdigit() and int(own) <= BATCH_BYTES
+    if not lower:
+        spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if not lower:
+            spark.conf.set(key, own)
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
+def tidy(run):
+    """run, an Arrow function, which gives back what it freed when its task ends.  Spark keeps workers for later stages, which would
+    find this memory taken."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def stage_table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
 
     Results are lazy and read these tables late, so they stay until the driver's process ends and are removed then."""
     spark = df.sparkSession
     home = f"{shared_dir(spark).rstrip('/')}/lexspan/{uuid.uuid4().hex}"
-    df.write.parquet(f"{home}/{name}", partitionBy=partition_by, compression="zstd")
+    with small_batches(spark):
+        df.write.parquet(f"{home}/{name}", partitionBy=partition_by, compression="zstd")
     _written[home] = spark
     return spark.read.schema(df.schema).parquet(f"{home}/{name}")
 

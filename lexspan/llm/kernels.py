@@ -12,7 +12,7 @@ U64 = np.uint64
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _MUL = 0x9E3779B97F4A7C15  # odd, so invertible modulo 2**64
 _INV = pow(_MUL, -1, 1 << 64)
-_WINDOW = 1 << 20
+_WINDOW = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import heavy_join, row_windows, sorted_groups, stage_table, utf8_column
+from .common import heavy_join, row_windows, sorted_groups, stage_table, tidy, utf8_column
 from .components import connected_components
 from .countvector import CountVectorTree, pack_point, point_of, unpack_point
 from .line_dedup import hash128
@@ -115,7 +115,7 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, per
     few = need.count() <= BROADCAST_ROWS
     texts = docs.select("doc_id", "text").join(F.broadcast(need) if few else need.hint("shuffle_hash"), "doc_id")
     dealt = texts.select("a", "salt", "role", "b", "d1", "d2", "text").repartition(F.col("a"), F.col("salt")).sortWithinPartitions("a", "salt", "role")
-    return dealt.mapInArrow(_verifier(width, percent), "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(_verifier(width, percent)), "a long, b long").distinct()
 
 
 def _stars(multi: DataFrame, tables: int) -> DataFrame:
@@ -219,7 +219,7 @@ def _candidates(multi: DataFrame, points: DataFrame, labels: DataFrame, percent:
     j = F.when(F.col("few"), F.lit(-1)).otherwise(F.greatest("slot", "t"))
     rows = stage_table(rows.select("key", i.alias("i"), j.alias("j"), "slot", "node", "comp", "base", "low"), "cells")
     dealt = rows.join(points, "node").select(*_CELL).repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(_searcher(percent, spanning, tables), "base long, a long, b long")
+    return dealt.mapInArrow(tidy(_searcher(percent, spanning, tables)), "base long, a long, b long")
 
 
 def _linked(docs: DataFrame, width: int, percent: int, tables: int) -> DataFrame:
@@ -228,7 +228,7 @@ def _linked(docs: DataFrame, width: int, percent: int, tables: int) -> DataFrame
     several texts, several components may have one component_id."""
     t1, t2 = hash128("text")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = docs.select("doc_id", t1.alias("t1"), t2.alias("t2"), "text").mapInArrow(_signatures(width, tables), _SIGNATURE)
+    signed = docs.select("doc_id", t1.alias("t1"), t2.alias("t2"), "text").mapInArrow(tidy(_signatures(width, tables)), _SIGNATURE)
     signed = stage_table(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
     # A node is known by the number of one of its rows; points stay with the rows until a search asks for them.
     heads = signed.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("m"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import bpe_lengths
-from .common import stage_table
+from .common import stage_table, tidy
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 64  # tokens that a sequence costs besides its capacity
@@ -179,7 +179,7 @@ def pack_lengths(sized: DataFrame, capacities: tuple[int, ...] = CAPACITIES) ->
     own = Window.partitionBy("n_tokens", "salt").orderBy("doc_id", "piece")
     ranked = salted.withColumn("rank", F.row_number().over(own) - 1).join(offsets, ["n_tokens", "salt"])
     ranked = ranked.select("doc_id", "piece", "n_tokens", (F.col("rank") + F.col("rank0")).alias("rank"))
-    placed = stage_table(ranked.mapInArrow(_assign(runs), "doc_id long, piece long, n_tokens long, bin_id long, bin_offset long"), "placed")
+    placed = stage_table(ranked.mapInArrow(tidy(_assign(runs)), "doc_id long, piece long, n_tokens long, bin_id long, bin_offset long"), "placed")
 
     used = placed.groupBy("bin_id").agg(F.sum("n_tokens").alias("used"))
     size = F.lit(None).cast("int")

@@ -1,18 +1,22 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
 from pyspark.sql import functions as F
 
+from lexspan.llm import bpe as B
+from lexspan.llm import common
 from lexspan.llm import kernels as K
 from lexspan.llm import queries as Q
-from lexspan.llm.bpe import bpe_decode, bpe_digests, bpe_encode, read_ranks
+from lexspan.llm.bpe import bpe_decode, bpe_digests, bpe_encode, bpe_lengths, read_ranks
 from lexspan.llm.common import stage_table
 from lexspan.llm.components import connected_components
 from lexspan.llm.common import fresh_names, heavy_join
@@ -609,3 +613,66 @@ def test_tree_compares_leaves_in_small_portions(monkeypatch):
     bounds = tree.overlap_bounds(0, np.arange(1, len(sets)))
     monkeypatch.setattr(countvector, "_AT_ONCE", 1000)
     assert (tree.overlap_bounds(0, np.arange(1, len(sets))) == bounds).all()
+
+
+def test_lengths_are_remembered_over_windows(monkeypatch):
+    path = Q.ranks_file()
+    rng = random.Random(8)
+    texts = [None, "", " \n", "don't we'll", "é" * 300 + " é", "日本語 テキスト", "ab" * 400 + " x", "😀 ok"] + [" ".join(words(rng, 60)) for _ in range(40)] + ["ab" * 400, "é" * 300, "don't"]
+    core = tiktoken.Encoding("r", pat_str=B.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+    want = [len(core.encode_ordinary(t or "")) for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    for window, known in ((1, 5), (200, 400_000), (1 << 20, 400_000)):
+        monkeypatch.setattr(B, "WINDOW", window), monkeypatch.setattr(B, "KNOWN", known)
+        (got,) = B._lengths(path)([batch])
+        assert got.column(1).to_pylist() == want
+
+
+def test_counting_lengths_takes_little_memory(spark):
+    # of a worker that the pipeline's packing shares an executor with; 8 windows of 1 MB, a third of the words new in each
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10 ** 6)}" if k % 3 == 0 else "same" for k in range(400)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    held = []
+
+    class Frame:  # takes the function that goes to Spark
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            held.append(run)
+
+    bpe_lengths(Frame(), Q.ranks_file())
+    tracemalloc.start()
+    try:
+        (lengths,) = held[0]([batch])
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert len(lengths) == len(texts) and peak < 60, peak
+
+
+def test_staged_rows_reach_workers_in_small_batches(spark):
+    text = "x" * 10_000
+    rows = spark.range(3000, numPartitions=1).select("id", F.concat(F.lit(text), F.col("id").cast("string")).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    got = stage_table(rows.mapInArrow(sizes, "n long, bytes long"), "sizes").collect()
+    assert sum(r["n"] for r in got) == 3000
+    assert max(r["bytes"] for r in got) < 8 << 20
+    assert spark.conf.get(key) == before
+
+
+def test_arrow_functions_give_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    assert list(common.tidy(lambda batches: (b * 2 for b in batches))([1, 2])) == [2, 4] and calls == [1]
+    early = common.tidy(lambda batches: iter(batches))([1, 2])
+    next(early), early.close()
+    assert calls == [1, 1]
+    common.give_back()
