@@ -107,15 +107,18 @@ def stage_table(df: DataFrame, name: str, partition_by: str | None = None) -> Da
 HEAVY = 10_000
 
 
-def heavy_join(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, how: str = "inner", total: int | None = None) -> DataFrame:
+def heavy_join(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
     """rows.join(facts, keys, how) where facts has one row for each key, and weight counts the rows of that key.
 
     Keys that hold more than 1 / HEAVY of all weight, at most HEAVY by that, are joined by broadcast, so that a hot key
-    is never one task's; the others are joined by shuffle.  rows and facts are read twice: stage them first.  how: inner or left.
-    total is the sum of weight, where it is known.
+    is never one task's; the others are joined by shuffle.  Where all keys are of one kind there is one join: each broadcast costs the
+    driver a thread and a copy.  rows and facts are read several times: stage them first.  how: inner or left.
     """
-    if total is None:
-        total = facts.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    total, least, most = facts.agg(F.coalesce(F.sum(weight), F.lit(0)), F.min(weight), F.max(weight)).first()
+    if most is None or most * HEAVY <= total:
+        return rows.join(facts, keys, how)
+    if least * HEAVY > total:
+        return rows.join(F.broadcast(facts), keys, how)
     heavy = facts.where(F.col(weight) * HEAVY > total)
     light = facts.where(F.col(weight) * HEAVY <= total)
     rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, how)

@@ -248,8 +248,8 @@ def _linked(docs: DataFrame, width: int, percent: int, tables: int) -> DataFrame
         if pairs.isEmpty():
             break
         found = stage_table(_verify(docs, nodes, pairs.select("a", "b").distinct(), width, percent), "found")
-        links = links.unionByName(found)
-        labels = connected_components(links)
+        stars = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        labels = connected_components(stars.unionByName(found))
         failed = _labelled(_labelled(pairs.join(found, ["a", "b"], "left_anti"), labels, "a", "ca"), labels, "b", "cb")
         failed = failed.where("ca <> cb").select(F.col("base").alias("key")).distinct()
         multi = multi.join(failed, "key", "left_semi")

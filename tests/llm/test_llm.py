@@ -676,3 +676,43 @@ def test_arrow_functions_give_memory_back(monkeypatch):
     next(early), early.close()
     assert calls == [1, 1]
     common.give_back()
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_components_of_any_links(spark, monkeypatch, few):
+    """Hubs, chains of mixed ids, negative and far ids, by one task and by rounds."""
+    from lexspan.llm import components as C
+
+    monkeypatch.setattr(C, "FEW_LINKS", few)
+    rng = random.Random(21)
+    ids = [i * (1 << 40) - 7 for i in range(-60, 240)]
+    chain = rng.sample(range(100), 100)
+    links = [*zip(chain, chain[1:]), *((100, i) for i in range(101, 180)), *((rng.randrange(180, 300), rng.randrange(180, 300)) for _ in range(70))]
+    want = components(len(ids), links)
+    table = spark.createDataFrame([(ids[a], ids[b]) for a, b in links] + [(None, ids[0]), (ids[1], None)], "a long, b long").union(spark.createDataFrame([(ids[b], ids[a]) for a, b in links[:50]], "a long, b long"))
+    got = {r["id"]: r["component"] for r in connected_components(table).collect()}
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    assert got == {ids[i]: ids[want[i]] for i in linked}
+    assert connected_components(table.where("a is null")).count() == 0
+
+
+def test_few_links_take_few_plans(spark):
+    """The driver keeps threads, code and plans of every exchange: components of a small table are two written tables, however long the chain."""
+    chain = spark.range(3000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    before = len(common._written)
+    assert connected_components(chain).where("component = 0").count() == 3001
+    assert len(common._written) - before == 2
+
+
+def test_heavy_join_broadcasts_only_what_it_must(spark):
+    """All keys heavy: one broadcast; none heavy: none of its own; both: as before.  The rows are those of a plain join."""
+    rows = stage_table(spark.range(30_000).select((F.col("id") % 15_000).alias("k"), "id"), "rows")
+    hot = stage_table(rows.unionByName(spark.range(20_000).select(F.lit(3).cast("long").alias("k"), "id")), "hot")
+    few = stage_table(rows.where("k < 5"), "few")
+    for table, broadcasts in ((rows, 0), (hot, 2), (few, 1), (few.where("k < 0"), 0)):
+        facts = stage_table(table.where("k <> 4").groupBy("k").agg(F.count("*").alias("n")), "facts")
+        for how in ("inner", "left"):
+            joined = heavy_join(table, facts, ["k"], "n", how)
+            assert joined._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == broadcasts
+            plain = table.join(facts, ["k"], how)
+            assert joined.exceptAll(plain).isEmpty() and plain.exceptAll(joined).isEmpty()
